@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Multiplier of the running polynomial, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -118,7 +119,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.Reco
         n = batch.num_rows
         if not n:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False), np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False), np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < n:
