@@ -24,7 +24,7 @@ OVERFULL = 2.0
 #: A group of equal texts of at most this share of a shard is never split.
 WHOLE_GROUP = 0.002
 #: A row of more than this part of a shard is placed by itself.
-LARGE = 500
+LARGE = 200
 
 
 def _range_of(bounds: list[tuple[int, int]]):
