@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, release
 from .words import ALNUM, PLACE_VALUES, U64, Words, lists, mix, signed, slices
@@ -168,11 +169,10 @@ def _scan(docs: DataFrame, block: Block, keep: list[str]) -> DataFrame:
             cols = [batch.column(c) for c in keep] + [pa.array(w.count.astype(np.int64)), lists((begin - base).astype(np.int32), spans, pa.int32()), lists((end - base).astype(np.int32), spans, pa.int32()), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_words", "span_start", "span_end", "items"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInArrow(run, f"{schema}, {STATE}")
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(STATE)]))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_windows: int = BLOCK_WINDOWS, carry: bool = False) -> DataFrame:
     """Every occurrence of every item window in every document.
 
     Returns doc_id, n_words, span_start and span_end (word numbers of the
@@ -180,19 +180,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     items with an occurring window).  An item of fewer than ``window`` words,
     but not none, is one window.  Null texts have no words; items of null id
     are ignored; documents of null id keep it; repeated rows are reported each;
-    an empty benchmark hits nothing; other columns are ignored.
+    an empty benchmark hits nothing; other columns are ignored, or with ``carry``
+    all come back in a struct ``row``.
     """
     windows = materialize(item_windows(items, window, item_id, item_text), "windows")
     n = windows.count()
     blocks = max(1, -(-n // block_windows))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = ["doc_id", *["row"] * carry]
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.struct(*docs.columns).alias("row")] * carry)
     none = F.array().cast("array<int>")
-    state = texts.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), none.alias("span_start"), none.alias("span_end"), F.array().cast("array<string>").alias("items"))
+    state = texts.select(*own, "text", F.lit(0).cast("long").alias("n_words"), none.alias("span_start"), none.alias("span_end"), F.array().cast("array<string>").alias("items"))
     for b in range(blocks):
         rows = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()  # block_windows rows, about
         block = Block(rows, window)
         block.choose(_corpus_counts(texts, block))
-        state = _scan(state, block, ["doc_id"] if b == blocks - 1 else ["doc_id", "text"])
+        state = _scan(state, block, own if b == blocks - 1 else [*own, "text"])
     release(windows)
     return state
 

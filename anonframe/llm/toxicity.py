@@ -17,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 from .words import slices
 
 #: Labelled rows that the lexicon and the model are fitted on, at most; it bounds the fit, not the scoring.
 FIT_ROWS = 8192
-STEMS = (3, 4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 #: A term of at least so many letters may have so many edits.
 EDITS = ((10, 2), (5, 1), (0, 0))
 #: Words on each side of a hit that are its context.
@@ -33,14 +34,15 @@ CACHE_WORDS = 400_000
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quotes quoting reported reports claimed told citation cited dijo dice escribió citó dit écrit cité sagte schrieb zitiert".split())
 QUOTES = "\"“”„«»‘’"
 WORD = re.compile(r"[^\W\d_]+")
-FEATURES = ("exact", "exact_quoted", "fuzzy", "fuzzy_quoted", "stem", "stem_quoted", "dense")
+FEATURES = ("exact", "exact_quoted", "fuzzy", "fuzzy_quoted", "stem", "stem_quoted", "weak", "weak_quoted", "dense")
 
 
 class Lexicon:
     """Terms (whole words, with edits where allowed) and stems (word beginnings)."""
 
-    def __init__(self, terms: list[str], stems: list[str], rigid: set[str] = frozenset()):
-        self.terms, self.stems, self.rigid = terms, stems, rigid
+    def __init__(self, terms: list[str], stems: list[str], rigid: set[str] = frozenset(), weak: list[str] = ()):
+        self.terms, self.stems, self.rigid, self.weak = terms, stems, rigid, frozenset(weak)
+        stems = [*stems, *(w for w in weak if w not in stems)]
         self.child: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.stem: list[str | None] = [None]
@@ -102,12 +104,12 @@ class Lexicon:
         return to
 
     def match(self, word: str) -> tuple[str, str] | None:
-        """('exact' | 'stem' | 'fuzzy', term) of a folded word."""
+        """('exact' | 'stem' | 'weak' | 'fuzzy', term) of a folded word; weak is a stem that clean texts have too."""
         at, stem, node = self.begin, None, 0
         for ch in word:
             if node is not None:
                 node = self.child[node].get(ch)
-                if node is not None and self.stem[node]:
+                if node is not None and self.stem[node] and (stem is None or stem in self.weak):
                     stem = self.stem[node]
             if at >= 0:
                 to = self.next[at].get(ch)
@@ -118,7 +120,7 @@ class Lexicon:
         if hit and hit[0] == 0:
             return "exact", hit[1]
         if stem:
-            return "stem", stem
+            return "weak" if stem in self.weak else "stem", stem
         return ("fuzzy", hit[1]) if hit else None
 
 
@@ -172,7 +174,7 @@ def _marks(sample: DataFrame):
     stems = F.flatten(F.transform("w", lambda w: F.transform(F.filter(F.lit(list(STEMS)), lambda k: F.length(w) > k), lambda k: F.concat(F.substring(w, F.lit(1), k), F.lit("-")))))
     rows = sample.withColumn("w", words).select("id", "y", F.explode(F.array_distinct(F.concat("w", stems))).alias("mark")).where("mark <> ''")
     per = rows.groupBy("mark").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"), F.collect_list(F.when(F.col("y") == 1, F.col("id"))).alias("ids"))
-    return per.where("n1 >= 3 AND n0 <= 0.1 * n1")
+    return per.where("n1 >= 3 AND n0 <= n1")
 
 
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -185,9 +187,9 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     empty = Model(Lexicon([], []), np.zeros(len(FEATURES)), prior)
     if not n1 or not n0:
         return empty
-    marks = [(r["mark"], r["n1"], r["n0"], frozenset(r["ids"])) for r in _marks(sample).orderBy(F.desc("n1"), "n0", "mark").limit(4000).collect()]
-    terms, stems = _choose(marks, base)
-    lexicon = Lexicon(terms, stems)
+    marks = [(r["mark"], r["n1"], r["n0"], frozenset(r["ids"])) for r in _marks(sample).orderBy(F.desc("n1"), "n0", "mark").limit(8000).collect()]
+    terms, stems, weak = _choose(marks, base)
+    lexicon = Lexicon(terms, stems, weak=weak)
 
     def run(lex):
         def go(batches):
@@ -207,16 +209,18 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     # A term whose near misses are ordinary words is matched as it is spelled.
     rigid = {t for t, (a, b) in seen.items() if a > 0.02 * b or a > 0.002 * n0}
     if rigid:
-        lexicon = Lexicon(terms, stems, rigid)
+        lexicon = Lexicon(terms, stems, rigid, weak)
         got = run(lexicon)
     x = np.array([r["x"] for r in got]).reshape(-1, len(FEATURES))
     y = np.array([r["y"] for r in got], float)
     return Model(lexicon, *_logistic(x, y))
 
 
-def _choose(marks: list, base: float) -> tuple[list[str], list[str]]:
-    """Terms and stems: first a cover of the labelled rows by the most significant marks, then all marks too pure for chance."""
+def _choose(marks: list, base: float) -> tuple[list[str], list[str], list[str]]:
+    """Terms, stems and weak stems: first a cover of the labelled rows by the most significant marks, then all marks too pure for chance."""
     odds, many = math.log(base), math.log(max(len(marks), 2) * 50.0)
+    loose = [m for m in marks if m[0].endswith("-") and m[2] > 0 and m[1] >= 8 and m[1] >= 4 * base * (m[1] + m[2])]
+    marks = [m for m in marks if m[2] <= 0.2 * m[1]]
     chosen: dict[str, None] = {}
     left = set().union(*(m[3] for m in marks)) if marks else set()
     rest = list(marks)
@@ -235,7 +239,8 @@ def _choose(marks: list, base: float) -> tuple[list[str], list[str]]:
     stems = [m[:-1] for m in chosen if m.endswith("-")]
     # A stem of a chosen term adds only what no label spoke for.
     stems = [s for s in stems if not any(t.startswith(s) for t in terms)]
-    return sorted(terms), sorted(stems)
+    weak = [m[0][:-1] for m in loose if m[0] not in chosen]
+    return sorted(terms), sorted(stems), sorted(s for s in weak if not any(t.startswith(s) for t in terms if len(t) <= len(s) + 2))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.ndarray, float]:
@@ -257,13 +262,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.nda
     return w[:-1] / scale, float(w[-1])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, score (0 to 1) and hits array<struct<word, kind, term, quoted>> of every whole text.
 
     Null and empty texts score as texts without hits; ids may be null and rows
-    may repeat; other columns are ignored.
+    may repeat; other columns are ignored, or with ``carry`` all come back in a
+    struct ``row``.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = ["id", *["row"] * carry]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.struct(*docs.columns).alias("row")] * carry)
     kind = pa.list_(pa.struct([("word", pa.string()), ("kind", pa.string()), ("term", pa.string()), ("quoted", pa.bool_())]))
 
     def run(batches):
@@ -274,12 +281,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 x, h = features(t.as_py() or "", model.lexicon, known)
                 scores.append(model.score(x))
                 hits.append([dict(zip(("word", "kind", "term", "quoted"), v, strict=True)) for v in h])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64()), pa.array(hits, kind)], names=["doc_id", "score", "hits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(scores, pa.float64()), pa.array(hits, kind)], names=[*own, "score", "hits"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['id'].dataType.simpleString()}, score double, hits array<struct<word: string, kind: string, term: string, quoted: boolean>>")
+    out = T._parse_datatype_string("score double, hits array<struct<word: string, kind: string, term: string, quoted: boolean>>")
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in own), *out])).withColumnRenamed("id", "doc_id")
 
 
-def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held: int = 0, fit_rows: int = FIT_ROWS) -> DataFrame:
+def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held: int = 0, fit_rows: int = FIT_ROWS, carry: bool = False) -> DataFrame:
     """Fit on labelled rows whose crc32(id as text) mod ``folds`` is not ``held``; score all rows.
 
     Returns doc_id, held_out, score, predicted and hits.  Without usable labels
@@ -289,6 +297,6 @@ def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold != held)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     model = learn(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), known, fit_rows)
-    out = score(docs, model, id_col, text_col)
+    out = score(docs, model, id_col, text_col, carry)
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False))
-    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits")
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits", *["row"] * carry)

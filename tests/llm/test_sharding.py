@@ -21,7 +21,8 @@ def test_near_equal_bytes_and_slots(spark, sf):
     assert sizes.max() - sizes.min() <= 0.01 * sizes.mean() + out["size"].max()
 
 
-def test_hot_group_is_split_and_small_groups_stay(spark):
+def test_hot_group_is_split_and_small_groups_stay(spark, monkeypatch):
+    monkeypatch.setattr("anonframe.llm.sharding.WHOLE_GROUP", 0.01)  # three short texts against a small shard
     docs = [(i, "hot text") for i in range(3000)] + [(5000 + i, f"text {i // 3} of three") for i in range(6000)]
     out = check(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(7))
     sizes = out.groupby("shard")["size"].sum()

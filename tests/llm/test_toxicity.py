@@ -34,13 +34,13 @@ def test_automaton_equals_edit_distance():
 
 
 def test_held_out_and_misspelled(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = detect(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
-    assert (out.predicted == out.toxic).mean() > 0.93 and out.score.between(0, 1).all()
+    assert (out.predicted == out.toxic).mean() > 0.97 and out.score.between(0, 1).all()
     order = out.score.rank()
     auc = (order[out.toxic == 1].sum() - (n := (out.toxic == 1).sum()) * (n + 1) / 2) / (n * (out.toxic == 0).sum())
-    assert auc > 0.9 and not np.isnan(auc)
+    assert auc > 0.97 and not np.isnan(auc)
 
 
 def test_awkward_rows(spark, sf):
