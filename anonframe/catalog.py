@@ -1,4 +1,6 @@
-"""All registered queries and their oracle SQL."""
+"""All registered queries of the engine and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .oracle import ORACLE_SQL
+from .queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
