@@ -87,10 +87,9 @@ def range_map(counts: dict[str, DataFrame], hosts: int, k: int, criterion: str =
     # One pass gets the keys in order; keys that a relation lacks never reach the driver.
     walker = Walker(len(counts), hosts, k, criterion, parity)
     spark = next(iter(counts.values())).sparkSession
-    ordered = views.orderBy("key")
     parts: list[pa.Table] = []
     kept = _Parts(spark, parts)
-    for keys, values in _chunks(ordered, names, hosts):
+    for keys, values in _chunks(views, names, hosts):
         kept.add(*walker.feed(keys, values))
     kept.add(*walker.finish())
     labels = kept.frame(views.schema["key"].dataType)
@@ -100,18 +99,18 @@ def range_map(counts: dict[str, DataFrame], hosts: int, k: int, criterion: str =
     return GenMap(labels, counts, hosts, k, criterion)
 
 
-def _chunks(ordered: DataFrame, names: list[str], hosts: int):
-    """(keys, counts[key, relation, host]) in ascending order of the keys."""
+def _chunks(views: DataFrame, names: list[str], hosts: int):
+    """(keys, counts[key, relation, host]) in ascending order of the keys: at once if they fit in a chunk, else a sorted stream."""
 
     def arrays(t: pa.Table):
         cols = [np.asarray(pa.concat_arrays(t.column(n).chunks or [pa.array([], pa.list_(pa.int64()))]).flatten(), np.int64).reshape(-1, hosts) for n in names]
         return t.column("key"), np.stack(cols, axis=1)
 
-    n = ordered.count()
-    if n <= CHUNK_KEYS:
-        if n:
-            yield arrays(ordered.toArrow())
+    few = views.limit(CHUNK_KEYS + 1).toArrow()
+    if len(few) <= CHUNK_KEYS:
+        yield arrays(few.sort_by("key"))
         return
+    ordered = views.orderBy("key")
     batch = []
     for r in ordered.toLocalIterator(prefetchPartitions=True):
         batch.append(r)
