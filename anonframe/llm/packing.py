@@ -9,6 +9,8 @@ which ranks of which length go where; pieces get their ranks in parallel.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections import deque
 
@@ -18,10 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
+from .words import slices
 
 CAPACITY = 2048
-#: Cached words of a worker; the cache starts anew when it is full.
-CACHE_WORDS = 400_000
+#: Cached words of a worker, in each cache and generation.
+CACHE_WORDS = 250_000
+#: Bytes of text that are tokenised at once.
+TEXT_BYTES = 1 << 19
 
 
 class OpenBins:
@@ -110,36 +115,89 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Letters (ASCII and precomposed Latin-1), then punctuation that no contraction or special token contains: two tokens' worth of text that never merge.
+SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{-~]*)")
+
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def _byte_alphabet() -> list[str]:
+    """The printable stand-ins of byte-level vocabularies: printable Latin-1 stands for itself, other bytes follow from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
+class Chunks:
+    """Token ids (little-endian bytes) of chunks between white space.
+
+    A chunk of letters and closing punctuation is the letters' ids and then the
+    punctuation's, whatever the case of its ASCII letters, so only distinct
+    folded words are encoded, and they go straight to the merge model.  The
+    words' cache has two generations: when the young one is full the old one
+    goes, and words that are still in use come back.
+    """
+
+    def __init__(self, coder):
+        self.coder, self.model = coder, coder.model
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.chunks: dict[bytes, bytes] = {}
+        # The vocabulary's symbols for the bytes of letters beyond ASCII.
+        self.symbols = dict(enumerate(_byte_alphabet()))
+
+    def encode(self, word: bytes) -> bytes:
+        ids = self.young.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is None:
+                if LETTERS.fullmatch(word):
+                    text = word.decode() if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(self.symbols)
+                    ids = [t.id for t in self.model.tokenize(text)]
+                else:
+                    ids = self.coder.encode(word.decode(), add_special_tokens=False).ids
+                ids = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.young) >= CACHE_WORDS:
+                self.old, self.young = self.young, {}
+            self.young[word] = ids
+        return ids
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        known = self.chunks
+        distinct = set().union(*split)
+        new = distinct.difference(known)
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = distinct
+        for c in new:
+            m = SIMPLE.fullmatch(c.lower())
+            if m is None:
+                known[c] = self.encode(c)
+            else:
+                a, b = m.groups()
+                known[c] = self.encode(a) + self.encode(b) if b else self.encode(a)
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of every whole text plus ``end_id``, cut every ``capacity`` tokens.
 
     The vocabulary splits at white space, so a text's ids are those of its
-    chunks between ASCII white space; each distinct chunk is encoded once a
-    worker.  Null texts count as empty and give the end id alone.
+    chunks between ASCII white space; see ``Chunks``.  Null texts count as
+    empty and give the end id alone.
     """
 
     def run(batches):
         from tokenizers import Tokenizer
 
-        coder = Tokenizer.from_file(tokenizer_path)
-        known: dict[bytes, bytes] = {}
+        coder = Chunks(Tokenizer.from_file(tokenizer_path))
         tail = np.array([end_id], "<u4").tobytes()
         width = 4 * capacity
-        for batch in batches:
+        for batch in slices(batches, "text", TEXT_BYTES):
             cols: list[list] = [[], [], [], [], []]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                chunks = (text.as_py() or "").encode().split()
-                new = [c for c in set(chunks) if c not in known]
-                if len(known) + len(new) > CACHE_WORDS:
-                    known.clear()
-                    new = list(set(chunks))
-                for i in range(0, len(new), 4096):
-                    part = new[i : i + 4096]
-                    for c, e in zip(part, coder.encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True):
-                        known[c] = np.array(e.ids, "<u4").tobytes()
-                ids = b"".join(map(known.__getitem__, chunks)) + tail
+            for key, ids in zip(batch.column(0).to_pylist(), coder.ids([(t or "").encode() for t in batch.column(1).to_pylist()]), strict=True):
+                ids += tail
                 for p, a in enumerate(range(0, len(ids), width)):
                     part = ids[a : a + width]
                     for c, v in zip(cols, (key, p, a // 4, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -113,8 +113,8 @@ class Words:
         return self.raw[self.start[i] : self.end[i]].tobytes()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in slices of about ``SLICE_BYTES`` of text."""
+def slices(batches: Iterator[pa.RecordBatch], text_col: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of about ``size`` bytes of text."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -124,7 +124,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.Reco
         at = 0
         while at < n:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(at, to - at)
             at = to
 
