@@ -1,14 +1,18 @@
-"""Shared plumbing: tables in the shared folder, star contraction, global ranks."""
+"""Shared plumbing: tables in the shared folder and star contraction."""
 
 from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Time for Spark's cleaner, which runs on its own thread, to delete shuffle files of collected plans.
+CLEANER_S = 0.3
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it.
@@ -37,6 +41,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     # The plan that has just run holds its shuffle files until it is collected.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(CLEANER_S)
     return out
 
 
@@ -58,36 +63,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def globally_ranked(df: DataFrame, order: list[str], rank: str = "rank") -> DataFrame:
-    """Add a dense global rank (from 0) by ``order``, without a single-task sort.
-
-    Range partitions are sorted one by one; a row's place within its partition
-    comes from ``monotonically_increasing_id`` and the partitions' offsets are
-    a running sum over one row for each partition.  The ranked rows are
-    written before the offsets are read, so both see the same partitions.
-    """
-    n = shuffle_partitions(df.sparkSession)
-    mid = F.monotonically_increasing_id()
-    part = (
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("__mid", mid)
-        .withColumn("__pid", F.shiftright("__mid", 33))
-        .withColumn("__ord", F.col("__mid").bitwiseAND((1 << 33) - 1))
-        .drop("__mid")
-    )
-    part = materialize(part, "ranked")
-    counts = part.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a partition
-    at, total = {}, 0
-    for r in sorted(counts, key=lambda r: r["__pid"]):
-        at[r["__pid"]] = total
-        total += r["n"]
-    if not at:
-        return part.withColumn(rank, F.col("__ord")).drop("__pid", "__ord")
-    offsets = F.lit([at.get(i, 0) for i in range(max(at) + 1)])
-    return part.withColumn(rank, F.element_at(offsets, (F.col("__pid") + 1).cast("int")) + F.col("__ord")).drop("__pid", "__ord")
-
-
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``links`` (a long, b long): rows (id, comp).
 
