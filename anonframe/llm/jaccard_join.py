@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, release
+from .common import components, materialize, release, shuffle_partitions
 from .words import FOLDED, U64, Words, lists, signed, slices
 
 #: Most repeated shingles whose order is by count; it orders prefixes only, and any number gives the same links.
 HEAVY = 1 << 18
 #: Entries of a posting list that one task pairs with the others; longer lists are salted.
 LIST_BLOCK = 1000
+#: Document ids that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 
 
 def _sets(w: Words, n: int) -> list[np.ndarray]:
@@ -101,6 +103,39 @@ def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, toks array<long>")
 
 
+def _shared(entries: DataFrame, n: int) -> DataFrame:
+    """The posting entries (gid, n, pos, tok) of shingles that several groups have.
+
+    One shuffle: sorted partitions are read as a stream, so a shingle of any
+    number of entries takes no more memory than one.
+    """
+
+    def run(batches):
+        held = None  # the last entry, until the next one tells whether it is alone
+        known = None  # shingle whose earlier entries went out
+        for b in batches:
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            tok = b.column("tok").to_numpy(zero_copy_only=False)
+            m = len(tok)
+            if not m:
+                continue
+            same = tok[1:] == tok[:-1]
+            keep = np.zeros(m, bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            keep |= tok == known if known is not None else False
+            held = b.slice(m - 1, 1)
+            known = tok[-1] if keep[-1] else None
+            yield b.slice(0, m - 1).filter(pa.array(keep[:-1]))
+        if held is not None and known is not None:
+            yield held
+
+    packed = entries.select("tok", "gid", (F.shiftleft(F.col("n"), 32) + F.col("pos")).alias("np"))
+    rows = packed.repartition(n, "tok").sortWithinPartitions("tok").mapInArrow(run, "tok long, gid long, np long")
+    return rows.select("tok", "gid", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents linked by shingle-set Jaccard of at least num/den.
 
@@ -122,64 +157,79 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     heavy, place = tok[order], order
 
     # Equal sets collapse to their smallest id.
-    sets = rows.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    sets = rows.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
     sets = materialize(sets, "sets")
-    pre = _prefixes(texts, n, heavy, place, num, den).join(sets.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    pre = materialize(pre, "prefixes")
-    groups = pre.groupBy("n", "pd").agg(F.min("id").alias("gid"), F.count(F.lit(1)).alias("members"))
-    member = materialize(pre.select("id", "n", "pd").join(groups, ["n", "pd"]).select("id", "n", "gid", "members"), "members")
-    entry = pre.join(member.where("id = gid").select("id"), "id", "left_semi").select(F.col("id").alias("gid"), "n", F.posexplode("pre").alias("pos", "tok"))
-    often = entry.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    post = materialize(entry.join(often, "tok").select("tok", "gid", "n", "pos"), "postings")
+    pre = materialize(_prefixes(texts.where("id IS NOT NULL"), n, heavy, place, num, den), "prefixes")
+    groups = pre.groupBy("n", "pd").agg(F.min("id").alias("gid"))
+    member = pre.select("id", "n", "pd").join(sets.select(F.col("rep").alias("id")), "id", "left_semi").join(groups, ["n", "pd"])
+    member = member.join(pre.groupBy("n", "pd").agg((F.max("id") > F.min("id")).alias("several")), ["n", "pd"])
+    member = materialize(member.select("id", "n", "gid", "several").distinct(), "members")
+    first = pre.groupBy("n", "pd").agg(F.min(F.struct("id", "pre")).alias("x"))
+    post = materialize(_shared(first.select(F.col("x.id").alias("gid"), F.col("n"), F.posexplode("x.pre").alias("pos", "tok")), shuffle_partitions(docs.sparkSession)), "postings")
     release(pre)
 
-    needed = post.select("gid").distinct().join(member, "gid").select("id").unionByName(member.where("members > 1").select("id")).distinct()
-    whole = materialize(_whole_sets(texts.join(needed, "id", "left_semi"), n).dropDuplicates(["id"]), "whole")
-
     def near(a: str, b: str, na, nb, i, j):
         """Length and positional filters for a shared shingle at places i and j of the ordered sets."""
         least = F.ceil((na + nb) * num / F.lit(float(num + den)) - F.lit(1e-9))
         most = F.least(i, j) + 1 + F.least(na - i - 1, nb - j - 1)
         return (F.col(a) != F.col(b)) & (na * num <= nb * den) & (nb * num <= na * den) & (most >= least)
 
+    def least_common(na, nb):
+        """Shingles that the prefixes of a pair must share: what lies behind the one that ends first can't make up for more."""
+        least = F.ceil((na + nb) * num / F.lit(float(num + den)) - F.lit(1e-9))
+        behind = lambda x: F.ceil(x * num / F.lit(float(den)) - F.lit(1e-9)) - 1
+        return F.greatest(F.lit(1), least - F.greatest(behind(na), behind(nb)))
+
+    def often(pairs: DataFrame, part: int = 1) -> DataFrame:
+        """Pairs (a, b, na, nb, w: shared prefix shingles) that share enough of them in all their rows."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb"), "w")
+        got = pairs.groupBy("a", "b").agg(F.sum("w").alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+        return got.where(F.col("c") * part >= least_common(F.col("na"), F.col("nb"))).select("a", "b")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        # Ids of 8 bytes are broadcast up to a size; beyond it the texts are shuffled to them.
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        whole = materialize(_whole_sets(texts.join(ids, "id", "left_semi"), n), "whole")
         got = pairs.join(whole.select(F.col("id").alias("a"), F.col("toks").alias("ta")), "a")
         got = got.join(whole.select(F.col("id").alias("b"), F.col("toks").alias("tb")), "b")
         both = F.size(F.array_intersect("ta", "tb"))
-        return got.where(both * (num + den) >= (F.size("ta") + F.size("tb")) * num).select("a", "b")
+        out = materialize(got.where(both * (num + den) >= (F.size("ta") + F.size("tb")) * num).select("a", "b"), "links")
+        release(whole, pairs)
+        return out
 
     # Stars: in each list the smallest group with the others, and in each group its first member with the others.
     hub = post.groupBy("tok").agg(F.min(F.struct("gid", "n", "pos")).alias("hub"))
     star = post.join(hub, "tok").where(near("gid", "hub.gid", F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos")))
-    star = star.select(F.col("hub.gid").alias("a"), F.col("gid").alias("b")).unionByName(member.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b")))
-    links = materialize(verified(star), "links")
+    # A hub need not be the hub of all that a pair shares: half will do here, as what is missed comes below.
+    star = often(star.select(F.col("hub.gid").alias("a"), F.col("gid").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.lit(1).alias("w")), 2).unionByName(member.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b")))
+    links = verified(star)
 
     # What is still apart: members of different classes under the same shingle.  A second star from another hub, then all.
-    posted = post.join(member.select("gid", "id"), "gid").select("tok", "id", "n", "pos")
+    posted = post.join(member.select("gid", "id"), "gid").select("tok", "id", "n", "pos", F.lit(1).alias("w"))
     for last in (False, True):
         comp = materialize(components(links), "comp")
-        known = posted.join(comp, "id", "left").select("tok", "id", "n", "pos", F.coalesce("comp", "id").alias("comp"))
+        known = posted.join(comp, "id", "left").select("tok", "id", "n", "pos", "w", F.coalesce("comp", "id").alias("comp"))
         known = known.unionByName(_group_lists(member, comp))
         apart = known.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("id"), "id", "n", "pos", "comp")).alias("hub")).where("lo < hi")
         open_ = known.join(apart.select("tok", "c", "hub"), "tok")
         if not last:
             pairs = open_.where(F.col("comp") != F.col("hub.comp")).where(near("id", "hub.id", F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos")))
-            pairs = pairs.select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+            pairs = pairs.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), "w")
         else:
             open_ = open_.withColumn("salts", F.ceil(F.col("c") / LIST_BLOCK).cast("int"))
-            x = open_.select("tok", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "pos", "comp")))
+            x = open_.select("tok", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "pos", "comp")), "w")
             y = open_.select("tok", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "comp")))
             cond = (x["tok"] == y["tok"]) & (x["salt"] == y["salt"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_comp") != F.col("b_comp")) & near("a_id", "b_id", F.col("a_n"), F.col("b_n"), F.col("a_pos"), F.col("b_pos"))
-            pairs = x.join(y, cond).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-        more = materialize(verified(pairs), "links")
-        links = links.unionByName(more)
+            pairs = x.join(y, cond).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb"), "w")
+        links = links.unionByName(verified(often(pairs)))
     comp = materialize(components(links), "comp")
     rep = sets.join(comp, sets["rep"] == comp["id"], "left").select("digest", F.coalesce("comp", "rep").alias("class"))
     return rows.join(rep, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("component_id"))
 
 
 def _group_lists(member: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of one prefix group as a list of their own; they share the first shingle at place 0."""
-    m = member.where("members > 1").join(comp, "id", "left")
-    return m.select(F.xxhash64("gid", F.lit("group")).alias("tok"), "id", "n", F.lit(0).alias("pos"), F.coalesce("comp", "id").alias("comp"))
+    """Members of one prefix group as a list of their own; they share all of the prefix, from place 0 on."""
+    m = member.where("several").join(comp, "id", "left")
+    return m.select(F.xxhash64("gid", F.lit("group")).alias("tok"), "id", "n", F.lit(0).alias("pos"), F.lit(1 << 20).alias("w"), F.coalesce("comp", "id").alias("comp"))
