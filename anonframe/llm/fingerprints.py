@@ -4,7 +4,8 @@ Rolling (cyclic polynomial) hashes of k tokens; from each window of hashes the
 smallest is kept, the rightmost of equal ones, with its position.  Two texts
 that share ``window + k - 1`` tokens in a row share a fingerprint entry.  A token
 is a run of up to 24 characters without white space, or one character of a
-script that is written without spaces.
+script that is written without spaces; runs also break where ordinary scripts
+meet rarer characters.
 """
 
 from __future__ import annotations
@@ -16,7 +17,12 @@ K = 3
 WINDOW = 8
 #: Low bits of a packed entry hold the position, counted down, so that the minimum is the rightmost.
 POSITION_BITS = 24
-TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]{1,24}"
+#: Code points of scripts that are written without spaces.
+UNSPACED_RANGES = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+UNSPACED = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in UNSPACED_RANGES)
+#: One range takes nearly all text; the rest of Unicode comes after.
+COMMON = "!-\\x{DFF}"
+TOKEN = f"[{COMMON}]{{1,24}}+|[{UNSPACED}]|[^\\s{COMMON}{UNSPACED}]{{1,24}}+"
 #: Documents whose order is settled together; see ``with_next``.
 BUCKET_DOCS = 2000
 MAX_BUCKETS = 1 << 15
@@ -79,7 +85,7 @@ def entries(packed: Column) -> Column:
 
 
 def as_text(packed: Column) -> Column:
-    return F.array_join(F.transform(packed, lambda x: F.hex(x)), " ")
+    return packed.cast("string")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -130,7 +136,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K, window: int = WINDOW, id_
     The edited text has its last floor(n/2) code points replaced by the first as
     many (or all) of the next document, by ascending id; after the last comes
     the first.  Returns doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint (packed entries in hexadecimal), near_edited, near_next
+    edited_fingerprint (packed entries), near_edited, near_next
     and entries.  Null texts are empty; a null id comes before all others; rows
     of one id follow each other by a hash of their text; a lone row is its own
     next; an empty table gives no rows; other columns are ignored.
