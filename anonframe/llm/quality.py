@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .words import PLAIN, U64, Words, lists, mix, slices
 
 #: Documents that the scorer is fitted on, about; the labellers' accuracies come from all documents.
-FIT_DOCS = 8192
+FIT_DOCS = 2048
 BUCKETS = 1 << 16
 #: (name, bad from, good from): the vote of a measure; good lies on the side of its bound away from bad.
 LABELLERS = (
@@ -141,7 +141,7 @@ def _means(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
 
 
-def _logistic(buckets: np.ndarray, sizes: np.ndarray, y: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, float]:
+def _logistic(buckets: np.ndarray, sizes: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
     """Logistic regression on mean feature weights, by full gradients with per-weight step sizes."""
     w, b = np.zeros(BUCKETS), 0.0
     g2, gb2 = np.full(BUCKETS, 1e-12), 1e-12
