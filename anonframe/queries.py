@@ -127,6 +127,16 @@ def join_left_deep(spark, d):
     return first.join(p, "c_custkey", "o_custkey", [("l", "c_custkey"), ("l", "k1"), ("r", "o_orderkey", "k2")]).reveal()
 
 
+def join_left_deep_whole(spark, d):
+    """The chain of ``join_left_deep`` over all customers."""
+    fed = federation(spark, d, "customer", "orders")
+    c = fed.scan("customer", ["c_custkey"])
+    o = fed.scan("orders", ["o_orderkey", "o_custkey"], where="o_totalprice < 200000")
+    p = fed.scan("orders", ["o_orderkey", "o_custkey"], where="o_orderstatus = 'F'")
+    first = c.join(o, "c_custkey", "o_custkey", [("l", "c_custkey"), ("r", "o_orderkey", "k1")])
+    return first.join(p, "c_custkey", "o_custkey", [("l", "c_custkey"), ("l", "k1"), ("r", "o_orderkey", "k2")]).reveal()
+
+
 def join_semi(spark, d):
     _, c, o = _customer_orders(spark, d)
     return c.semi_join(o.filter(F.col("o_totalprice") > 200000), "c_custkey", "o_custkey").reveal()
@@ -161,6 +171,16 @@ def join_oblivious_count(spark, d):
     return c.join(o, "c_custkey", "o_custkey", CO).df.agg(F.count(F.lit(1)).alias("padded"), F.sum(F.when(~F.col(DUMMY), 1).otherwise(0)).alias("real"))
 
 
+def join_oblivious_count_whole(spark, d):
+    """The cross product of the whole tables: its size, as a product of counts, and its real rows, by the equi-join."""
+    fed = federation(spark, d, "customer", "orders")
+    c = fed.scan("customer", ["c_custkey"]).make_oblivious("c_custkey")
+    o = fed.scan("orders", ["o_orderkey", "o_custkey"]).make_oblivious("o_custkey")
+    a, b = (f.df.agg(F.count(F.lit(1)).alias(n)) for f, n in ((c, "a"), (o, "b")))
+    real = c.join(o, "c_custkey", "o_custkey", CO).truncate().df.agg(F.count(F.lit(1)).alias("real"))
+    return a.crossJoin(b).crossJoin(real).select((F.col("a") * F.col("b")).alias("padded"), "real")
+
+
 # -- aggregation -------------------------------------------------------------------
 def agg_count(spark, d):
     return federation(spark, d, "orders").scan("orders", ["o_custkey"]).count_by("o_custkey").reveal()
@@ -429,7 +449,7 @@ def _named(*fs) -> dict:
 QUERIES: dict = _named(
     scan_project, scan_one_host, scan_sql, stats_scan, local_branch, fdw_union, cohort_ctas, random_table,
     filter_eq, filter_neq, filter_contains, filter_chain_and, filter_marks_dummies, filter_expression,
-    join_inner, join_string_key, join_left_deep, join_semi, join_anti, join_generalized_padded, join_generalized_revealed, join_oblivious_count,
+    join_inner, join_string_key, join_left_deep, join_left_deep_whole, join_semi, join_anti, join_generalized_padded, join_generalized_revealed, join_oblivious_count, join_oblivious_count_whole,
     agg_count, agg_sum_count_partial, agg_avg_final, agg_secure_two_level, agg_pad_groups, agg_min, agg_merge_partials, distinct,
     union_all, sort_desc_topk, sort_global, dummy_sort_truncate, truncate_bound, sample_n, repartition_hosts,
     gen_counts, gen_map_k5, gen_map_orders_k7, gen_map_parity, gen_map_complement, gen_map_scan_counts, gen_discard, gen_zip, gen_class_stats, gen_verify, gen_dense_range, gen_greedy_merge, gen_one_host, make_oblivious,

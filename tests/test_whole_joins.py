@@ -1,0 +1,23 @@
+import pytest
+from anonframe.queries import QUERIES
+
+from .compare import oracle, spark_rows
+
+#: The SQL of join_left_deep and join_oblivious_count without its id bounds.
+WHOLE = {
+    "join_left_deep_whole": """SELECT c_custkey, o.o_orderkey AS k1, p.o_orderkey AS k2 FROM customer JOIN orders o ON c_custkey = o.o_custkey JOIN orders p ON c_custkey = p.o_custkey
+WHERE o.o_totalprice < 200000 AND p.o_orderstatus = 'F'""",
+    "join_oblivious_count_whole": """SELECT (SELECT count(*) FROM customer) * (SELECT count(*) FROM orders) AS padded,
+(SELECT count(*) FROM customer JOIN orders ON c_custkey = o_custkey) AS "real" """,
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_tables(spark, sf, name):
+    assert spark_rows(QUERIES[name](spark, sf)) == oracle(sf, WHOLE[name])
+
+
+def test_more_than_the_id_bounds(spark, sf):
+    assert QUERIES["join_left_deep_whole"](spark, sf).where("c_custkey >= 100").count() > 0
+    padded = [QUERIES[n](spark, sf).first()["padded"] for n in ("join_oblivious_count", "join_oblivious_count_whole")]
+    assert padded[1] > padded[0]
