@@ -28,6 +28,16 @@ KINDS = {
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z+(])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
+#: Card numbers of the lengths that their first digits fix.
+BRANDS = r"4(?:[ -]?[0-9]){15}", r"(?:5[ -]?[1-5]|2[ -]?[2-7]|3[ -]?5|6[ -]?[0-9])(?:[ -]?[0-9]){14}", r"3[ -]?[47](?:[ -]?[0-9]){13}", r"3[ -]?[068](?:[ -]?[0-9]){12}"
+#: IBAN lengths (ISO 13616 registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: A border put beside a shorter candidate, and what stands for its first character in a text that has it already.
+BORDER, ESCAPE, OWN = "\uffff\ufffe", "\uffff", "\uffff\ufffd"
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Days from 1900-01-01 to 2099-12-31: a product of two numbers that a Feistel network takes as halves.
 DAYS = (17, 4297)
@@ -147,8 +157,7 @@ def kind_of(m: Column) -> Column:
     """The kind of a match, or null where a validator turns it down."""
     full = {k: F.regexp_like(m, F.lit(f"^(?:{p})$")) for k, p in KINDS.items()}
     full["secret"] = F.regexp_like(m, F.lit(r"^(?i:(?:token|secret|password|passwd|api[_-]?key))[\"']? ?[=:]"))
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    checks = {"iban": _valid_iban(m), "date": F.try_to_date(m, "yyyy-MM-dd").isNotNull(), "card": F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)}
+    checks = {"iban": _valid_iban(m), "date": F.try_to_date(m, "yyyy-MM-dd").isNotNull(), "card": _valid_card(m)}
     out = None
     for k in KINDS:
         value = F.when(checks[k], F.lit(k)) if k in checks else F.lit(k)
@@ -158,6 +167,58 @@ def kind_of(m: Column) -> Column:
     return out
 
 
+def _valid_card(m: Column) -> Column:
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
+
+
+def shorter(m: Column) -> Column:
+    """(begin, size) of the card or IBAN inside a candidate that fails its check as a whole, or null.
+
+    Both start and end at a border of the candidate's groups; a card may also
+    end where its first digits say, and an IBAN ends where its country says.
+    """
+    n = F.length(m)
+
+    def starts(group: str):
+        return F.filter(F.sequence(F.lit(1), n), lambda i: F.regexp_like(F.substring(m, i, n), F.lit(f"^{group}")) & ((i == 1) | F.substring(m, i - 1, F.lit(1)).isin(" ", "-")))
+
+    def spans(i, least: int):
+        """Spans from i on that end before or at every later place."""
+        return F.when(n - i + 1 >= least, F.transform(F.sequence(n - i + 1, F.lit(least), F.lit(-1)), lambda k: F.struct(i.cast("int").alias("begin"), k.cast("int").alias("size")))).otherwise(F.array().cast("array<struct<begin:int,size:int>>"))
+
+    text = lambda x: F.substring(m, x["begin"], x["size"])
+    at_border = lambda x: F.substring(m, x["begin"] + x["size"], F.lit(1)).isin("", " ", "-") & ~text(x).rlike("[ -]$")
+    branded = lambda x: F.regexp_like(text(x), F.lit("^(?:" + "|".join(BRANDS) + ")$"))
+    cards = F.flatten(F.transform(starts("[0-9]"), lambda i: spans(i, 13)))
+    cards = F.filter(cards, lambda x: (at_border(x) | branded(x)) & _valid_card(text(x)))
+    # A known length is the likelier card, then the border, then the longer one.
+    ranked = _let(cards, lambda c: F.concat(F.filter(c, lambda x: branded(x) & at_border(x)), F.filter(c, at_border), c))
+    country = F.create_map(*[F.lit(v) for size, names in IBAN_LENGTHS.items() for c in names.split() for v in (c, size)])
+    size = lambda x: F.length(F.regexp_replace(text(x), " ", ""))
+    fixed = lambda x: F.try_element_at(country, F.substring(m, x["begin"], F.lit(2)))
+    ibans = F.flatten(F.transform(starts("[A-Z]{2}[0-9]{2}"), lambda i: spans(i, 15)))
+    ibans = F.filter(ibans, lambda x: F.when(fixed(x).isNotNull(), size(x) == fixed(x)).otherwise(at_border(x)) & ~text(x).endswith(" ") & _valid_iban(text(x)))
+    failed_card = F.regexp_like(m, F.lit(r"^[0-9][0-9 -]+$")) & (F.length(F.regexp_replace(m, "[^0-9]", "")) >= 13) & ~_valid_card(m)
+    failed_iban = F.regexp_like(m, F.lit(r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$")) & ~_valid_iban(m)
+    return F.when(failed_card, F.try_element_at(ranked, F.lit(1))).when(failed_iban, F.try_element_at(ibans, F.lit(1)))
+
+
+def _bordered(text: Column) -> Column:
+    """The text with borders beside every shorter candidate, until none is left; each round borders one more span at least."""
+    found = lambda t: F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
+
+    def mark(m):
+        return _let(shorter(m), lambda x: F.when(x.isNull(), m).otherwise(F.concat(F.substring(m, F.lit(1), x["begin"] - 1), F.lit(BORDER), F.substring(m, x["begin"], x["size"]), F.lit(BORDER), F.substring(m, x["begin"] + x["size"], F.length(m)))))
+
+    def step(s, _):
+        new = lambda t: F.array_join(F.zip_with(F.split(t, ANY, -1), F.transform(found(t), mark), lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
+        return F.when(s["done"], s).otherwise(_let(new(s["t"]), lambda t: F.struct(t.alias("t"), (t == s["t"]).alias("done"))))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.length(text) / F.lit(13)).cast("int"))
+    return F.aggregate(rounds, F.struct(F.replace(text, F.lit(ESCAPE), F.lit(OWN)).alias("t"), F.lit(False).alias("done")), step, lambda s: s["t"])
+
+
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     at = F.instr(m, "@")
     lead = F.regexp_extract(m, r"^(.*?[=:] ?[\"'])", 1)
@@ -180,15 +241,20 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     """Replace personal data in every whole text; add pii_kinds (array, a kind for each value replaced, in order).
 
     Kinds: email (its local part), secret (a quoted credential), iban, date
-    (ISO), ip, ssn, phone and card.  Numbers that fail their check stay as they
-    are.  Null texts stay null and have no kinds; all other columns and rows
+    (ISO), ip, ssn, phone and card.  A card or account number that fails its
+    check is searched for a shorter one inside it; numbers that fail stay as
+    they are.  Null texts stay null and have no kinds; all other columns and rows
     pass through; a column named pii_kinds is replaced.
     """
     text = F.col(text_col)
     rows = docs.drop("pii_kinds").withColumn("__some", F.regexp_like(text, F.lit("[0-9@=:]")) & F.regexp_like(text, F.lit("@|[0-9](?:[ .()-]{0,3}[0-9]){3}|(?i:token|secret|passw|api.?key)")))
     found = F.when(F.col("__some"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("__found", found).withColumn("__inner", F.exists("__found", lambda m: shorter(m).isNotNull()))
+    rows = rows.withColumn("__text", F.when(F.col("__inner"), _bordered(text)).otherwise(text))
+    found = F.when(F.col("__inner"), F.regexp_extract_all("__text", F.lit(ANY), F.lit(0))).otherwise(F.col("__found"))
     values = F.transform(found, lambda m: _let(kind_of(m), lambda k: F.struct(k.alias("kind"), F.coalesce(pseudonym(m, k, key), m).alias("new"))))
-    pieces = F.split(text, ANY, -1)
+    pieces = F.split("__text", ANY, -1)
     new = F.array_join(F.zip_with(pieces, values, lambda p, v: F.concat(p, F.coalesce(v["new"], F.lit("")))), "")
+    new = F.when(F.col("__inner"), F.replace(F.replace(new, F.lit(BORDER), F.lit("")), F.lit(OWN), F.lit(ESCAPE))).otherwise(new)
     rows = rows.withColumn(text_col, F.when(F.col("__some"), F.struct(new.alias("t"), F.filter(F.transform(values, lambda v: v["kind"]), lambda k: k.isNotNull()).alias("k"))).otherwise(F.struct(text.alias("t"), F.array().cast("array<string>").alias("k"))))
     return rows.withColumn("pii_kinds", F.col(f"{text_col}.k")).withColumn(text_col, F.col(f"{text_col}.t")).select(*[c for c in docs.columns if c != "pii_kinds"], "pii_kinds")

@@ -89,3 +89,26 @@ def test_edges(spark):
     long_text = "word " * 100_000 + "a.b@c.org"
     out = pseudonymize(spark.createDataFrame([(1, long_text)], "doc_id long, text string")).select(F.length("text").alias("n"), "pii_kinds").first()
     assert out["n"] == len(long_text) and out["pii_kinds"] == ["email"]
+
+
+def test_shorter_cards_and_ibans(spark):
+    inside = {
+        "card 4111 1111 1111 1111 12/27 end": "4111 1111 1111 1111",
+        "n 4111111111111111123 end": "4111111111111111",
+        "n 12 4111-1111-1111-1111 99 end": "4111-1111-1111-1111",
+        "a 3782 822463 10005 2024-01-02 end": "3782 822463 10005",
+        "to ES91 2100 0418 4502 0005 1332 BIC end": "ES91 2100 0418 4502 0005 1332",
+        "to GB82WEST12345698765432 BIC end": "GB82WEST12345698765432",
+        "\uffff\ufffe ES91 2100 0418 4502 0005 1332 DE89 3704 0044 0532 0130 00 BIC \uffff": "DE89 3704 0044 0532 0130 00",
+    }
+    got = one(spark, list(inside))
+    for (text, value), new in zip(inside.items(), got, strict=True):
+        lead, rest = text.split(value)
+        assert value not in new and len(new) == len(text), new
+        assert new.startswith(lead[:5]) and new.endswith(rest[-4:])
+    assert got[0][:5] == "card " and got[0][-10:] == " 12/27 end" and luhn(got[0][5:24].replace(" ", ""))
+    assert got[1][-7:] == "123 end" and luhn(got[1][2:18])
+    assert "2024-01-02" not in got[3]  # what follows is read again
+    assert got[4][-8:] == " BIC end"
+    assert "ES91 2100" not in got[6] and got[6][:2] == "\uffff\ufffe"
+    assert one(spark, ["4111 1111 1111 1112 10", "ES92 2100 0418 4502 0005 1332 BIC"]) == ["4111 1111 1111 1112 10", "ES92 2100 0418 4502 0005 1332 BIC"]
