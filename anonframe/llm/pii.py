@@ -20,7 +20,7 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Patterns in the order in which they are tried at a position.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"""(?i:(?<![A-Za-z0-9])(?:token|secret|password|passwd|api[_-]?key)["']? ?[=:] ?["'])[A-Za-z0-9+/_=.-]{8,256}(?=["'])""",
+    "secret": r"""(?i:(?<![A-Za-z0-9])(?:token|secret|password|passwd|api[_-]?key)["']? ?[=:] ?["'])[A-Za-z0-9+/_=.-]{8,}+(?=["'])""",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])",

@@ -112,3 +112,10 @@ def test_shorter_cards_and_ibans(spark):
     assert got[4][-8:] == " BIC end"
     assert "ES91 2100" not in got[6] and got[6][:2] == "\uffff\ufffe"
     assert one(spark, ["4111 1111 1111 1112 10", "ES92 2100 0418 4502 0005 1332 BIC"]) == ["4111 1111 1111 1112 10", "ES92 2100 0418 4502 0005 1332 BIC"]
+
+
+def test_secrets_of_any_length(spark):
+    for n in (8, 256, 257, 300, 5000):
+        value = ("aZ09_-." * n)[:n]
+        assert one(spark, [f'token = "{value}" end']) == [f'token = "{brute_text(value, "secret")}" end']
+    assert one(spark, ['token = "' + "a" * 300 + " end"]) == ['token = "' + "a" * 300 + " end"]
