@@ -6,6 +6,7 @@ that any partner must share.  Documents with identical prefixes and size are
 one group, groups are paired by shared prefix shingles under length and
 positional filters, and members are verified on their whole sets.  Only links
 that can join two classes are verified: stars first, then what is still apart.
+Numbers of links, if asked for, come from all pairs of each class afterwards.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .words import FOLDED, U64, Words, lists, signed, slices
 HEAVY = 1 << 18
 #: Entries of a posting list that one task pairs with the others; longer lists are salted.
 LIST_BLOCK = 1000
+#: Shingles and sets of one side of a block pair whose links are counted at once; larger classes are cut into blocks.
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 19, 512
 #: Document ids that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 
@@ -136,7 +139,82 @@ def _shared(entries: DataFrame, n: int) -> DataFrame:
     return rows.select("tok", "gid", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Shared shingles of every set of a with every set of b."""
+    x, y = (np.unique(np.concatenate(s)) for s in (a, b))
+    known = np.intersect1d(x, y, assume_unique=True)
+
+    def places(sets):
+        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        k = np.searchsorted(known, flat)
+        hit = known[np.minimum(k, len(known) - 1)] == flat if len(known) else np.zeros(len(flat), bool)
+        by = np.argsort(k[hit], kind="stable")
+        return k[hit][by], of[hit][by]
+
+    (ka, ia), (kb, ib) = places(a), places(b)
+    out = np.zeros((len(a), len(b)), np.float32)
+    step = 2048
+    for lo in range(0, len(known), step):
+        m = np.zeros((len(a), step), np.float32), np.zeros((len(b), step), np.float32)
+        for t, k, i in ((m[0], ka, ia), (m[1], kb, ib)):
+            f, g = np.searchsorted(k, (lo, lo + step))
+            t[i[f:g], k[f:g] - lo] = 1
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def _link_counts(texts: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(digest, n_links) of the sets in ``rows`` (id, n, digest, class).
+
+    Linked sets have one class, so all pairs of a class are all candidates.
+    Each pair of different sets is held once, in the pair of blocks that the
+    sets' digests fall into; a link counts once for every document of the set.
+    """
+    sets = rows.where("id IS NOT NULL AND n > 0").groupBy("digest", "class").agg(F.countDistinct("id").alias("copies"), F.min("id").alias("rep"), F.max("n").alias("n"))
+    sets = materialize(sets, "linked")
+    sizes = sets.groupBy("class").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t")).where("m > 1")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("t") / BLOCK_SHINGLES)).cast("int")
+    work = sets.join(sizes.select("class", blocks.alias("k")), "class")
+    work = materialize(work.select("digest", "rep", "class", "copies", "k", F.pmod(F.xxhash64("digest"), F.col("k")).cast("int").alias("s")), "work")
+
+    def digested(batches):
+        for batch in slices(batches, "text"):
+            found = _sets(Words(batch.column("text"), FOLDED), n)
+            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), lists(signed(np.concatenate(found)), np.array([len(s) for s in found]), pa.int64())], names=["digest", "toks"])
+
+    reps = work.select(F.col("rep").alias("id")).distinct()
+    reps = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
+    whole = texts.join(reps, "id", "left_semi").mapInArrow(digested, "digest binary, toks array<long>")
+    whole = materialize(whole.join(work.select("digest", "class", "copies", "k", "s"), "digest"), "sides")
+    release(work)
+    sides = whole.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("class", F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi"), "s", "digest", "copies", "toks")
+
+    def count(group: pa.Table) -> pa.Table:
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        side: dict[int, dict] = {lo: {}, hi: {}}
+        toks = group.column("toks").combine_chunks()
+        toks = toks if isinstance(toks, pa.Array) else pa.concat_arrays(toks.chunks)
+        for i, (s, d, c) in enumerate(zip(*(group.column(x).to_pylist() for x in ("s", "digest", "copies")), strict=True)):
+            side[s].setdefault(d, (c, toks[i].values.to_numpy()))  # rows that repeat an id bring a set again
+        a, b = list(side[lo].values()), list(side[hi].values())
+        both = _overlaps([x for _, x in a], [x for _, x in b]) if a and b else np.zeros((len(a), len(b)), np.int64)
+        na, nb = (np.array([len(x) for _, x in q], np.int64) for q in (a, b))
+        linked = both * (num + den) >= (na[:, None] + nb[None, :]) * num
+        if lo == hi:
+            np.fill_diagonal(linked, False)
+        out = [(d, int(v)) for d, v in zip(side[lo], linked @ np.array([c for c, _ in b], np.int64), strict=True)]
+        if lo != hi:
+            out += [(d, int(v)) for d, v in zip(side[hi], linked.T @ np.array([c for c, _ in a], np.int64), strict=True)]
+        return pa.table({"digest": pa.array([d for d, _ in out], pa.binary()), "v": pa.array([v for _, v in out], pa.int64())})
+
+    counts = materialize(sides.groupBy("class", "lo", "hi").applyInArrow(count, "digest binary, v long"), "counts")
+    release(whole)
+    other = counts.groupBy("digest").agg(F.sum("v").alias("v"))
+    return sets.join(other, "digest", "left").select("digest", (F.col("copies") - 1 + F.coalesce("v", F.lit(0))).alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
     """Classes of documents linked by shingle-set Jaccard of at least num/den.
 
     Returns doc_id, n_shingles and component_id (the smallest id reachable by
@@ -144,7 +222,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     folded.  Null, empty and wordless texts have no shingles and link with
     nothing; rows of null id are reported with a null component; rows that
     repeat an id are reported each, under one component; an empty table gives
-    no rows; other columns are ignored.
+    no rows; other columns are ignored.  With ``links`` also n_links, the number
+    of other documents that a document is linked with (null for null ids): all
+    pairs of a class are then verified, not only those that make it one.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     seen = materialize(_summaries(texts, n), "summaries")
@@ -204,12 +284,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     star = post.join(hub, "tok").where(near("gid", "hub.gid", F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos")))
     # A hub need not be the hub of all that a pair shares: half will do here, as what is missed comes below.
     star = often(star.select(F.col("hub.gid").alias("a"), F.col("gid").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.lit(1).alias("w")), 2).unionByName(member.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b")))
-    links = verified(star)
+    joined = verified(star)
 
     # What is still apart: members of different classes under the same shingle.  A second star from another hub, then all.
     posted = post.join(member.select("gid", "id"), "gid").select("tok", "id", "n", "pos", F.lit(1).alias("w"))
     for last in (False, True):
-        comp = materialize(components(links), "comp")
+        comp = materialize(components(joined), "comp")
         known = posted.join(comp, "id", "left").select("tok", "id", "n", "pos", "w", F.coalesce("comp", "id").alias("comp"))
         known = known.unionByName(_group_lists(member, comp))
         apart = known.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("id"), "id", "n", "pos", "comp")).alias("hub")).where("lo < hi")
@@ -223,10 +303,15 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
             y = open_.select("tok", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "comp")))
             cond = (x["tok"] == y["tok"]) & (x["salt"] == y["salt"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_comp") != F.col("b_comp")) & near("a_id", "b_id", F.col("a_n"), F.col("b_n"), F.col("a_pos"), F.col("b_pos"))
             pairs = x.join(y, cond).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb"), "w")
-        links = links.unionByName(verified(often(pairs)))
-    comp = materialize(components(links), "comp")
+        joined = joined.unionByName(verified(often(pairs)))
+    comp = materialize(components(joined), "comp")
     rep = sets.join(comp, sets["rep"] == comp["id"], "left").select("digest", F.coalesce("comp", "rep").alias("class"))
-    return rows.join(rep, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("component_id"))
+    out = [F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("component_id")]
+    if not links:
+        return rows.join(rep, "digest", "left").select(*out)
+    rep = materialize(rep, "classes")
+    counts = _link_counts(texts, rows.join(rep, "digest"), n, num, den)
+    return rows.join(rep.join(counts, "digest"), "digest", "left").select(*out, F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
 def _group_lists(member: DataFrame, comp: DataFrame) -> DataFrame:

@@ -59,3 +59,41 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "A b c d E")], "doc_id long, text string")
     out = sorted((tuple(r) for r in jaccard_components(df).collect()), key=str)
     assert out == sorted([(1, 2, 1), (1, 2, 1), (None, 2, None), (2, 2, 1)], key=str)
+
+
+def link_counts(docs, n, num, den):
+    """By id, the number of other ids that it is linked with."""
+    sets = {}
+    for i, t in docs:
+        w = SPACE.findall(fold(t or ""))
+        sets[i] = {tuple(w[a : a + n]) for a in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    out = dict.fromkeys(sets, 0)
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+            out[a] += 1
+            out[b] += 1
+    return out
+
+
+def test_numbers_of_links(spark, sf, monkeypatch):
+    from anonframe.llm import jaccard_join
+
+    docs = documents(spark, sf)
+    out = jaccard_components(docs, links=True)
+    assert {r["doc_id"]: r["n_links"] for r in out.collect()} == link_counts(rows(docs), 4, 85, 100)
+    rng = random.Random(7)
+    base = [rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(60)]
+    near = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(len(copy))] = "x"
+        near.append((i, " ".join(copy)))
+    near += [(90, near[0][1].upper()), (91, "alone"), (92, None)]
+    want = link_counts(near, 2, 80, 100)
+    assert len(set(want.values())) > 3
+    df = spark.createDataFrame([*near, near[1], (None, near[0][1])], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 7)  # many blocks
+    got = [(r["doc_id"], r["n_links"]) for r in jaccard_components(df, 2, 80, 100, links=True).collect()]
+    assert len(got) == df.count() and set(got) == {*want.items(), (None, None)}
