@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from .words import PLAIN, U64, Words, lists, mix, slices
 
 #: Documents that the scorer is fitted on, about; the labellers' accuracies come from all documents.
-FIT_DOCS = 2048
+FIT_DOCS = 8192
+#: Bytes of text that the scorer is fitted on, about: where documents are long, fewer are drawn, of all lengths alike.
+FIT_BYTES = 1 << 27
 BUCKETS = 1 << 16
 #: (name, bad from, good from): the vote of a measure; good lies on the side of its bound away from bad.
 LABELLERS = (
@@ -135,21 +137,29 @@ class Model:
         return np.where(self.known[k] == patterns, self.posterior[k], self.share)
 
 
+def _distinct(buckets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct buckets of each document, their shares of its features, distinct buckets a document)."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    key, n = np.unique(doc * BUCKETS + buckets, return_counts=True)
+    d = key // BUCKETS
+    return (key % BUCKETS).astype(np.int32), n / np.maximum(sizes, 1)[d], np.bincount(d, minlength=len(sizes))
+
+
 def _means(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(values)])
     ends = np.cumsum(sizes)
     return (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
 
 
-def _logistic(buckets: np.ndarray, sizes: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
+def _logistic(buckets: np.ndarray, parts: np.ndarray, sizes: np.ndarray, y: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Logistic regression on mean feature weights, by full gradients with per-weight step sizes."""
     w, b = np.zeros(BUCKETS), 0.0
     g2, gb2 = np.full(BUCKETS, 1e-12), 1e-12
-    share = np.repeat(1.0 / np.maximum(sizes, 1), sizes)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(b + _means(w[buckets], sizes), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(doc, w[buckets] * parts, minlength=len(sizes)), -30, 30)))
         err = (p - y) / max(len(y), 1)
-        g = np.bincount(buckets, np.repeat(err, sizes) * share, minlength=BUCKETS) + 1e-7 * w
+        g = np.bincount(buckets, err[doc] * parts, minlength=BUCKETS) + 1e-7 * w
         gb = err.sum()
         g2 += g * g
         gb2 += gb * gb
@@ -158,35 +168,41 @@ def _logistic(buckets: np.ndarray, sizes: np.ndarray, y: np.ndarray, rounds: int
     return w, b
 
 
-def fit(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES) -> Model:
+    """The labellers' accuracies from all documents, the scorer from a hashed sample of about fit_docs documents and at most about fit_bytes of text."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def count(batches):
         for batch in slices(batches, "text"):
-            u, n = np.unique(pattern(votes(measures(Words(batch.column("text"), PLAIN)))), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64))], names=["p", "n"])
+            w = Words(batch.column("text"), PLAIN)
+            u, at, n = np.unique(pattern(votes(measures(w))), return_inverse=True, return_counts=True)
+            size = np.bincount(at, np.diff(w.bounds), minlength=len(u))
+            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(size.astype(np.int64))], names=["p", "n", "size"])
 
-    rows = sorted((r["p"], r["n"]) for r in texts.mapInArrow(count, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect())  # 3**labellers rows at most
+    rows = sorted((r["p"], r["n"], r["size"]) for r in texts.mapInArrow(count, "p long, n long, size long").groupBy("p").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect())  # 3**labellers rows at most
     known, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
     posterior, table, share = expectation_maximisation(known, counts, len(LABELLERS))
-    total = counts.sum()
+    part = min(1.0, fit_docs / max(counts.sum(), 1), fit_bytes / max(sum(r[2] for r in rows), 1))
 
     def features(batches):
         for batch in slices(batches, "text"):
             w = Words(batch.column("text"), PLAIN)
             m = measures(w)
-            buckets, sizes = hashed(w, m)
-            yield pa.RecordBatch.from_arrays([pa.array(pattern(votes(m)).astype(np.int64)), lists(buckets, sizes, pa.int32())], names=["p", "x"])
+            buckets, parts, sizes = _distinct(*hashed(w, m))
+            yield pa.RecordBatch.from_arrays([pa.array(pattern(votes(m)).astype(np.int64)), lists(buckets, sizes, pa.int32()), lists(parts.astype(np.float32), sizes, pa.float32())], names=["p", "x", "part"])
+
+    drawn = texts.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) < F.lit(int(part * (1 << 20))))
+    got = drawn.mapInArrow(features, "p long, x array<int>, part array<float>").toArrow() if len(rows) else pa.table({"p": pa.array([], pa.int64()), "x": pa.array([], pa.list_(pa.int32())), "part": pa.array([], pa.list_(pa.float32()))})
+
+    def whole(name):
+        c = got.column(name).combine_chunks()
+        return c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks)
 
-    # Very long texts would outweigh the fit's memory: they are scored, but not fitted on.
-    drawn = texts.where(F.length("text") <= 20_000).where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) < F.lit(int(min(1.0, fit_docs / max(total, 1)) * (1 << 20))))
-    got = drawn.mapInArrow(features, "p long, x array<int>").toArrow() if total else pa.table({"p": pa.array([], pa.int64()), "x": pa.array([], pa.list_(pa.int32()))})
-    x = got.column("x").combine_chunks()
-    x = x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks)
+    x, parts = whole("x"), whole("part")
     model = Model(known, posterior, table, share, np.zeros(BUCKETS), 0.0)
     sizes = np.asarray(pc.list_value_length(x), np.int64)
     if len(sizes):
-        model.weights, model.bias = _logistic(np.asarray(x.flatten(), np.int64), sizes, model.weak(np.asarray(got.column("p"), np.int64)))
+        model.weights, model.bias = _logistic(np.asarray(x.flatten(), np.int64), np.asarray(parts.flatten(), float), sizes, model.weak(np.asarray(got.column("p"), np.int64)))
     return model
 
 

@@ -33,3 +33,23 @@ def test_awkward_rows(spark, sf):
     assert out[10_000]["weak_label"] == out[10_001]["weak_label"]
     assert classify(docs.limit(0)).count() == 0
     assert classify(docs, model=fit(docs.limit(0))).count() == docs.count()
+
+
+def test_long_texts_are_fitted_on(spark):
+    words = "Plain sentences with many different words make prose. "
+    prose = [(i, "".join(f"It is the {i}th story of w{i * 7 + j} and others. " for j in range(20))) for i in range(40)]
+    long_text = words + " ".join(f"longonly{j % 40}" for j in range(6000))
+    assert len(long_text) > 20_000
+    docs = spark.createDataFrame([*prose, (99, long_text)], "doc_id long, text string")
+    with_long, without = fit(docs), fit(docs.where("doc_id < 99"))
+    assert ((with_long.weights != 0) & (without.weights == 0)).sum() >= 30
+    few = fit(docs, fit_bytes=1)
+    assert not few.weights.any() and few.share > 0
+
+
+def test_bounds_of_the_fit():
+    import inspect
+
+    from anonframe.llm import quality
+
+    assert quality.FIT_DOCS >= 8192 and inspect.signature(quality._logistic).parameters["rounds"].default >= 150
