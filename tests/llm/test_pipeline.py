@@ -46,3 +46,17 @@ def test_empty_documents(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_repeated_ids_with_other_texts_and_null_ids(spark, sf):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    docs = [(1, text["a"]), (1, text["b"]), (1, text["b"]), (2, text["a"] + " end"), (3, text["c"]), (None, text["d"]), (None, text["d"]), (None, text["d"] + " end"), (None, ""), (None, ""), (None, None), (4, ""), (5, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id long, text string, k int").repartition(3)
+    out = corpus_pipeline.drop_near_copies(spark, df, sf)
+    assert out.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    named = sorted((i, t) for i, t in got if i is not None)
+    assert named == sorted([(1, text["a"]), (1, text["b"]), (3, text["c"]), (4, ""), (5, "")])
+    null = [t for i, t in got if i is None]
+    assert sum(bool(t) and t.startswith("d0") for t in null) == 1
+    assert null.count("") == 2 and null.count(None) == 1 and len(null) == 4
