@@ -60,3 +60,11 @@ def test_repeated_ids_with_other_texts_and_null_ids(spark, sf):
     null = [t for i, t in got if i is None]
     assert sum(bool(t) and t.startswith("d0") for t in null) == 1
     assert null.count("") == 2 and null.count(None) == 1 and len(null) == 4
+
+
+def test_short_items_need_company(spark, tmp_path):
+    long_item = "one two three four five six seven eight nine"
+    spark.createDataFrame([("s", "Thank you"), ("t", "best wishes"), ("l", long_item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "a letter to say thank you for all"), (2, "thank you and best wishes to all"), (3, "so " + long_item + " ten"), (4, "clean"), (5, None)]
+    out = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
+    assert out.columns == ["doc_id", "text"] and sorted(r["doc_id"] for r in out.collect()) == [1, 4, 5]
