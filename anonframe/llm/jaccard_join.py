@@ -1,31 +1,39 @@
 """N-gram Jaccard join: grouped prefix join on word shingles.
 
-Documents with equal shingle sets collapse first.  Shingles are ordered with
-the corpus's most repeated ones last; a document's prefix is the first part
-that any partner must share.  Documents with identical prefixes and size are
-one group, groups are paired by shared prefix shingles under length and
-positional filters, and members are verified on their whole sets.  Only links
-that can join two classes are verified: stars first, then what is still apart.
-Numbers of links, if asked for, come from all pairs of each class afterwards.
+Documents with equal shingle sets collapse to one node.  Shingles are ordered
+with the corpus's most repeated ones last; a node's prefix is the first part
+that any partner must share.  Nodes with identical prefixes and size are one
+group, groups are paired by shared prefix shingles under length and positional
+filters, and members are verified on their whole sets.
+
+Only links that can join two classes are looked for at first.  Stars come
+before all else: a list's hub with the list, and a group's first member with
+the group.  A posting list that then still holds several classes is open.
+Short open lists are paired and verified.  The members of long open lists never
+become rows of pairs: they are cut into blocks by size and hash, a task holds
+the whole sets of two blocks, verifies them as a product of matrices, and gives
+back a spanning forest of the links.  Numbers of links, if asked for, come from
+the same blocks over the members of each class.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, release, shuffle_partitions
+from .common import components, materialize, release
 from .words import FOLDED, U64, Words, lists, signed, slices
 
 #: Most repeated shingles whose order is by count; it orders prefixes only, and any number gives the same links.
 HEAVY = 1 << 18
-#: Entries of a posting list that one task pairs with the others; longer lists are salted.
-LIST_BLOCK = 1000
-#: Shingles and sets of one side of a block pair whose links are counted at once; larger classes are cut into blocks.
+#: Members of an open posting list that are paired as rows; members of longer ones are compared in blocks.
+SHORT_LIST = 32
+#: Shingles and sets of one block; two blocks are compared at once.
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 19, 512
 #: Document ids that are broadcast at most.
 BROADCAST_IDS = 1_000_000
@@ -46,6 +54,10 @@ def _sets(w: Words, n: int) -> list[np.ndarray]:
     return out
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _summaries(docs: DataFrame, n: int) -> DataFrame:
     """Rows (kind 0: id, size, digest of the set) and (kind 1: shingles that a slice has in several documents, counts)."""
 
@@ -54,7 +66,7 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
             w = Words(batch.column("text"), FOLDED)
             sets = _sets(w, n)
             size = np.array([len(s) for s in sets], np.int64)
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            digest = [_digest(s) for s in sets]
             once = [s for _, s in {g: s for g, s in zip(digest, sets, strict=True)}.items()]
             u, c = np.unique(np.concatenate(once), return_counts=True)
             u, c = u[c > 1], c[c > 1]
@@ -73,14 +85,14 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, n: int, heavy: np.ndarray, place: np.ndarray, num: int, den: int) -> DataFrame:
-    """(id, n, prefix, digest of the prefix): light shingles by hash, then heavy ones by rising count."""
+    """(id, digest of the set, n, prefix, digest of the prefix): light shingles by hash, then heavy ones by rising count."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             w = Words(batch.column("text"), FOLDED)
-            pre = []
-            sizes = []
+            pre, sizes, digest = [], [], []
             for s in _sets(w, n):
+                digest.append(_digest(s))
                 p = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                 if len(heavy) and len(s):
                     k = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
@@ -90,53 +102,32 @@ def _prefixes(docs: DataFrame, n: int, heavy: np.ndarray, place: np.ndarray, num
                 sizes.append(len(s))
                 pre.append(s[:p])
             flat = np.concatenate(pre) if pre else np.zeros(0, U64)
-            digest = [hashlib.blake2b(p.tobytes(), digest_size=16).digest() for p in pre]
-            cols = [batch.column("id"), pa.array(sizes, pa.int64()), lists(signed(flat), np.array([len(p) for p in pre]), pa.int64()), pa.array(digest, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "pre", "pd"])
+            cols = [batch.column("id"), pa.array(digest, pa.binary()), pa.array(sizes, pa.int64()), lists(signed(flat), np.array([len(p) for p in pre]), pa.int64()), pa.array([_digest(p) for p in pre], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "digest", "n", "pre", "pd"])
 
-    return docs.mapInArrow(run, "id long, n long, pre array<long>, pd binary")
+    return docs.mapInArrow(run, "id long, digest binary, n long, pre array<long>, pd binary")
 
 
-def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
+def _whole_sets(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, toks) of ``nodes`` (node, id, digest): a text of that id whose set has that digest."""
+
     def run(batches):
         for batch in slices(batches, "text"):
             sets = _sets(Words(batch.column("text"), FOLDED), n)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists(signed(np.concatenate(sets)), np.array([len(s) for s in sets]), pa.int64())], names=["id", "toks"])
-
-    return docs.mapInArrow(run, "id long, toks array<long>")
+            flat = lists(signed(np.concatenate(sets)), np.array([len(s) for s in sets]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([_digest(s) for s in sets], pa.binary()), flat], names=["id", "digest", "toks"])
 
+    few = nodes.count() <= BROADCAST_IDS  # of 40 bytes each; beyond it the texts are shuffled to them
+    some = (lambda x: F.broadcast(x)) if few else (lambda x: x)
+    whole = texts.join(some(nodes.select("id").distinct()), "id", "left_semi").mapInArrow(run, "id long, digest binary, toks array<long>")
+    # Rows that repeat an id and its text would bring a set again.
+    return whole.join(some(nodes), ["id", "digest"]).select("node", "toks").dropDuplicates(["node"])
 
-def _shared(entries: DataFrame, n: int) -> DataFrame:
-    """The posting entries (gid, n, pos, tok) of shingles that several groups have.
 
-    One shuffle: sorted partitions are read as a stream, so a shingle of any
-    number of entries takes no more memory than one.
-    """
-
-    def run(batches):
-        held = None  # the last entry, until the next one tells whether it is alone
-        known = None  # shingle whose earlier entries went out
-        for b in batches:
-            if held is not None:
-                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            tok = b.column("tok").to_numpy(zero_copy_only=False)
-            m = len(tok)
-            if not m:
-                continue
-            same = tok[1:] == tok[:-1]
-            keep = np.zeros(m, bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            keep |= tok == known if known is not None else False
-            held = b.slice(m - 1, 1)
-            known = tok[-1] if keep[-1] else None
-            yield b.slice(0, m - 1).filter(pa.array(keep[:-1]))
-        if held is not None and known is not None:
-            yield held
-
-    packed = entries.select("tok", "gid", (F.shiftleft(F.col("n"), 32) + F.col("pos")).alias("np"))
-    rows = packed.repartition(n, "tok").sortWithinPartitions("tok").mapInArrow(run, "tok long, gid long, np long")
-    return rows.select("tok", "gid", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+def _shared(entries: DataFrame) -> DataFrame:
+    """The posting entries (tok, gid, n, pos) of shingles that several groups have."""
+    several = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return entries.join(several.select("tok"), "tok")
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -163,55 +154,99 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _link_counts(texts: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(digest, n_links) of the sets in ``rows`` (id, n, digest, class).
+def _sides(members: DataFrame, whole: DataFrame, num: int, den: int, carry: str) -> DataFrame:
+    """(grp, z1, s1, z2, s2, first, last, node, carry, toks): each set once for each pair of blocks that can hold links of its.
 
-    Linked sets have one class, so all pairs of a class are all candidates.
-    Each pair of different sets is held once, in the pair of blocks that the
-    sets' digests fall into; a link counts once for every document of the set.
+    ``members``: (grp, node, n, carry).  A group that fits in a block is one
+    block.  Others are cut by size, in steps so wide that linked sets lie in the
+    same or in neighbouring ones, and each step by a hash of the node.
     """
-    sets = rows.where("id IS NOT NULL AND n > 0").groupBy("digest", "class").agg(F.countDistinct("id").alias("copies"), F.min("id").alias("rep"), F.max("n").alias("n"))
-    sets = materialize(sets, "linked")
-    sizes = sets.groupBy("class").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t")).where("m > 1")
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("t") / BLOCK_SHINGLES)).cast("int")
-    work = sets.join(sizes.select("class", blocks.alias("k")), "class")
-    work = materialize(work.select("digest", "rep", "class", "copies", "k", F.pmod(F.xxhash64("digest"), F.col("k")).cast("int").alias("s")), "work")
-
-    def digested(batches):
-        for batch in slices(batches, "text"):
-            found = _sets(Words(batch.column("text"), FOLDED), n)
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), lists(signed(np.concatenate(found)), np.array([len(s) for s in found]), pa.int64())], names=["digest", "toks"])
-
-    reps = work.select(F.col("rep").alias("id")).distinct()
-    reps = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
-    whole = texts.join(reps, "id", "left_semi").mapInArrow(digested, "digest binary, toks array<long>")
-    whole = materialize(whole.join(work.select("digest", "class", "copies", "k", "s"), "digest"), "sides")
-    release(work)
-    sides = whole.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("class", F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi"), "s", "digest", "copies", "toks")
+    step = math.log(den / num) * (1 + 1e-9) + 1e-9 if num < den else 1e-9
+    blocks = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    total = members.groupBy("grp").agg(blocks().alias("all"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    rows = members.join(total, "grp").withColumn("z", F.when(F.col("all") == 1, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / step)).cast("int"))
+    rows = materialize(rows.select("grp", "node", "n", carry, "z"), "cut")
+    k = materialize(rows.groupBy("grp", "z").agg(blocks().alias("k")), "cuts")
+    rows_ = rows.join(k, ["grp", "z"])
+    for name, by in (("above", 1), ("below", -1)):
+        rows_ = rows_.join(k.select("grp", (F.col("z") - by).alias("z"), F.col("k").alias(name)), ["grp", "z"], "left")
+    s = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    pair = lambda z1, s1, z2, s2, side: F.struct(z1.alias("z1"), s1.alias("s1"), z2.alias("z2"), s2.alias("s2"), side.alias("side"))
+    none = F.array().cast("array<struct<z1:int,s1:int,z2:int,s2:int,side:int>>")
+    z, at = F.col("z"), F.col("s")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    own = F.transform(upto("k"), lambda t: pair(z, F.least(at, t), z, F.greatest(at, t), F.when(at <= t, 0).otherwise(1)))
+    up = F.when(F.col("above").isNull(), none).otherwise(F.transform(upto("above"), lambda t: pair(z, at, z + 1, t, F.lit(0))))
+    down = F.when(F.col("below").isNull(), none).otherwise(F.transform(upto("below"), lambda t: pair(z - 1, t, z, at, F.lit(1))))
+    placed = rows_.withColumn("s", s).select("grp", "node", carry, F.concat(own, up, down).alias("places"))
+    out = materialize(placed.join(whole, "node"), "sides")
+    release(rows, k)
+    flat = out.select("grp", F.explode("places").alias("x"), "node", carry, "toks").select("grp", "x.*", "node", carry, "toks")
+    flat._anon_path = out._anon_path
+    return flat
+
+
+def _compared(group: pa.Table, num: int, den: int, carry: str):
+    """(nodes, carried values) of two blocks and which of them are linked; a block with itself once."""
+    toks = group.column("toks").combine_chunks()
+    toks = toks if isinstance(toks, pa.Array) else pa.concat_arrays(toks.chunks)
+    side, node, what = (group.column(c).to_numpy() for c in ("side", "node", carry))
+    flat, ends = toks.flatten().to_numpy(), np.asarray(toks.offsets) - toks.offsets[0].as_py()
+    z1, s1, z2, s2 = (group.column(c)[0].as_py() for c in ("z1", "s1", "z2", "s2"))
+    picked = [np.flatnonzero(side == k) for k in ((0, 0) if (z1, s1) == (z2, s2) else (0, 1))]
+    a, b = ([flat[ends[i] : ends[i + 1]] for i in p] for p in picked)
+    both = _overlaps(a, b) if a and b else np.zeros((len(a), len(b)), np.int64)
+    na, nb = (np.array([len(x) for x in q], np.int64) for q in (a, b))
+    linked = both * (num + den) >= (na[:, None] + nb[None, :]) * num
+    if (z1, s1) == (z2, s2):
+        np.fill_diagonal(linked, False)
+    return [(node[p], what[p]) for p in picked], linked, (z1, s1) == (z2, s2)
+
+
+def _link_counts(members: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, n_links): documents of other sets of ``members`` (grp, node, n, copies) that are linked, pair by pair of blocks."""
 
     def count(group: pa.Table) -> pa.Table:
-        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        side: dict[int, dict] = {lo: {}, hi: {}}
-        toks = group.column("toks").combine_chunks()
-        toks = toks if isinstance(toks, pa.Array) else pa.concat_arrays(toks.chunks)
-        for i, (s, d, c) in enumerate(zip(*(group.column(x).to_pylist() for x in ("s", "digest", "copies")), strict=True)):
-            side[s].setdefault(d, (c, toks[i].values.to_numpy()))  # rows that repeat an id bring a set again
-        a, b = list(side[lo].values()), list(side[hi].values())
-        both = _overlaps([x for _, x in a], [x for _, x in b]) if a and b else np.zeros((len(a), len(b)), np.int64)
-        na, nb = (np.array([len(x) for _, x in q], np.int64) for q in (a, b))
-        linked = both * (num + den) >= (na[:, None] + nb[None, :]) * num
-        if lo == hi:
-            np.fill_diagonal(linked, False)
-        out = [(d, int(v)) for d, v in zip(side[lo], linked @ np.array([c for c, _ in b], np.int64), strict=True)]
-        if lo != hi:
-            out += [(d, int(v)) for d, v in zip(side[hi], linked.T @ np.array([c for c, _ in a], np.int64), strict=True)]
-        return pa.table({"digest": pa.array([d for d, _ in out], pa.binary()), "v": pa.array([v for _, v in out], pa.int64())})
-
-    counts = materialize(sides.groupBy("class", "lo", "hi").applyInArrow(count, "digest binary, v long"), "counts")
-    release(whole)
-    other = counts.groupBy("digest").agg(F.sum("v").alias("v"))
-    return sets.join(other, "digest", "left").select("digest", (F.col("copies") - 1 + F.coalesce("v", F.lit(0))).alias("n_links"))
+        ((a, ca), (b, cb)), linked, same = _compared(group, num, den, "copies")
+        ids, v = [a], [linked @ cb]
+        if not same:
+            ids.append(b)
+            v.append(linked.T @ ca)
+        return pa.table({"node": pa.array(np.concatenate(ids), pa.int64()), "v": pa.array(np.concatenate(v), pa.int64())})
+
+    sides = _sides(members, whole, num, den, "copies")
+    counts = materialize(sides.groupBy("grp", "z1", "s1", "z2", "s2").applyInArrow(count, "node long, v long"), "counts")
+    release(sides)
+    return counts.groupBy("node").agg(F.sum("v").alias("n_links"))
+
+
+def _joining(members: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join the classes of ``members`` (grp, node, n, comp) as far as any do: a forest from each pair of blocks."""
+
+    def forest(group: pa.Table) -> pa.Table:
+        ((a, ca), (b, cb)), linked, _ = _compared(group, num, den, "comp")
+        linked &= ca[:, None] != cb[None, :]
+        x, y = np.nonzero(linked)
+        _, one = np.unique(np.stack([np.minimum(ca[x], cb[y]), np.maximum(ca[x], cb[y])]), axis=1, return_index=True)
+        parent: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while parent.setdefault(c, c) != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        out = []
+        for i, j in zip(x[one].tolist(), y[one].tolist(), strict=True):
+            p, q = find(int(ca[i])), find(int(cb[j]))
+            if p != q:
+                parent[p] = q
+                out.append((a[i], b[j]))
+        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
+
+    sides = _sides(members, whole, num, den, "comp")
+    out = materialize(sides.groupBy("grp", "z1", "s1", "z2", "s2").applyInArrow(forest, "a long, b long").distinct(), "links")
+    release(sides)
+    return out
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
@@ -219,12 +254,18 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
     Returns doc_id, n_shingles and component_id (the smallest id reachable by
     links, its own included).  Words are split at ASCII white space and A-Z is
-    folded.  Null, empty and wordless texts have no shingles and link with
-    nothing; rows of null id are reported with a null component; rows that
-    repeat an id are reported each, under one component; an empty table gives
+    folded; shingles are compared by 64-bit hashes with fixed seeds, not as
+    words, so two different ones are taken as equal once in 2^64 pairs.
+
+    Null, empty and wordless texts have no shingles and link with nothing.  Very
+    long texts are compared whole.  Rows of null id are reported with a null
+    component and link nothing.  Rows that repeat an id are reported each; with
+    different texts they are different documents, each in the class of its own
+    text.  Ties (which member is a hub) change no class.  An empty table gives
     no rows; other columns are ignored.  With ``links`` also n_links, the number
-    of other documents that a document is linked with (null for null ids): all
-    pairs of a class are then verified, not only those that make it one.
+    of other documents (ids, for equal sets) that a document is linked with, null
+    for null ids: all pairs of a class are then verified, not only those that
+    make it one.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     seen = materialize(_summaries(texts, n), "summaries")
@@ -236,17 +277,19 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     order = np.argsort(tok)
     heavy, place = tok[order], order
 
-    # Equal sets collapse to their smallest id.
-    sets = rows.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"))
-    sets = materialize(sets, "sets")
-    pre = materialize(_prefixes(texts.where("id IS NOT NULL"), n, heavy, place, num, den), "prefixes")
-    groups = pre.groupBy("n", "pd").agg(F.min("id").alias("gid"))
-    member = pre.select("id", "n", "pd").join(sets.select(F.col("rep").alias("id")), "id", "left_semi").join(groups, ["n", "pd"])
-    member = member.join(pre.groupBy("n", "pd").agg((F.max("id") > F.min("id")).alias("several")), ["n", "pd"])
-    member = materialize(member.select("id", "n", "gid", "several").distinct(), "members")
-    first = pre.groupBy("n", "pd").agg(F.min(F.struct("id", "pre")).alias("x"))
-    post = materialize(_shared(first.select(F.col("x.id").alias("gid"), F.col("n"), F.posexplode("x.pre").alias("pos", "tok")), shuffle_partitions(docs.sparkSession)), "postings")
+    # Equal sets collapse to a node with a number of its own; written once, numbers stay.
+    sets = rows.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.countDistinct("id").alias("copies"), F.min("n").alias("n"))
+    sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    nodes = sets.select("node", "id", "digest")
+    pre = _prefixes(texts.where("id IS NOT NULL"), n, heavy, place, num, den)
+    pre = materialize(pre.join(nodes, ["id", "digest"]).select("node", "n", "pre", "pd"), "prefixes")
+    groups = pre.groupBy("n", "pd").agg(F.min(F.struct("node", "pre")).alias("x"), F.max("node").alias("hi"))
+    groups = materialize(groups.select(F.col("x.node").alias("gid"), "n", "pd", F.col("x.pre").alias("pre"), (F.col("hi") > F.col("x.node")).alias("several")), "groups")
+    member = pre.select("node", "n", "pd").join(groups.select("gid", "n", "pd", "several"), ["n", "pd"])
+    member = materialize(member.select("node", "n", "gid", "several").distinct(), "members")
     release(pre)
+    post = materialize(_shared(groups.select("gid", "n", F.posexplode("pre").alias("pos", "tok"))), "postings")
+    release(groups)
 
     def near(a: str, b: str, na, nb, i, j):
         """Length and positional filters for a shared shingle at places i and j of the ordered sets."""
@@ -266,55 +309,72 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
         got = pairs.groupBy("a", "b").agg(F.sum("w").alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb"))
         return got.where(F.col("c") * part >= least_common(F.col("na"), F.col("nb"))).select("a", "b")
 
+    def needed(ids: DataFrame) -> DataFrame:
+        """(node, toks) of the nodes in ``ids`` (node)."""
+        wanted = materialize(nodes.join(ids, "node", "left_semi"), "wanted")
+        out = materialize(_whole_sets(texts, wanted, n), "whole")
+        release(wanted)
+        return out
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        # Ids of 8 bytes are broadcast up to a size; beyond it the texts are shuffled to them.
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        whole = materialize(_whole_sets(texts.join(ids, "id", "left_semi"), n), "whole")
-        got = pairs.join(whole.select(F.col("id").alias("a"), F.col("toks").alias("ta")), "a")
-        got = got.join(whole.select(F.col("id").alias("b"), F.col("toks").alias("tb")), "b")
+        whole = needed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        got = pairs.join(whole.select(F.col("node").alias("a"), F.col("toks").alias("ta")), "a")
+        got = got.join(whole.select(F.col("node").alias("b"), F.col("toks").alias("tb")), "b")
         both = F.size(F.array_intersect("ta", "tb"))
         out = materialize(got.where(both * (num + den) >= (F.size("ta") + F.size("tb")) * num).select("a", "b"), "links")
         release(whole, pairs)
         return out
 
-    # Stars: in each list the smallest group with the others, and in each group its first member with the others.
+    # Stars: in each list a hub with the others, and in each group its first member with the others.
     hub = post.groupBy("tok").agg(F.min(F.struct("gid", "n", "pos")).alias("hub"))
     star = post.join(hub, "tok").where(near("gid", "hub.gid", F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos")))
     # A hub need not be the hub of all that a pair shares: half will do here, as what is missed comes below.
-    star = often(star.select(F.col("hub.gid").alias("a"), F.col("gid").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.lit(1).alias("w")), 2).unionByName(member.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b")))
-    joined = verified(star)
-
-    # What is still apart: members of different classes under the same shingle.  A second star from another hub, then all.
-    posted = post.join(member.select("gid", "id"), "gid").select("tok", "id", "n", "pos", F.lit(1).alias("w"))
-    for last in (False, True):
-        comp = materialize(components(joined), "comp")
-        known = posted.join(comp, "id", "left").select("tok", "id", "n", "pos", "w", F.coalesce("comp", "id").alias("comp"))
-        known = known.unionByName(_group_lists(member, comp))
-        apart = known.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("id"), "id", "n", "pos", "comp")).alias("hub")).where("lo < hi")
-        open_ = known.join(apart.select("tok", "c", "hub"), "tok")
-        if not last:
-            pairs = open_.where(F.col("comp") != F.col("hub.comp")).where(near("id", "hub.id", F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos")))
-            pairs = pairs.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), "w")
-        else:
-            open_ = open_.withColumn("salts", F.ceil(F.col("c") / LIST_BLOCK).cast("int"))
-            x = open_.select("tok", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "pos", "comp")), "w")
-            y = open_.select("tok", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "pos", "comp")))
-            cond = (x["tok"] == y["tok"]) & (x["salt"] == y["salt"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_comp") != F.col("b_comp")) & near("a_id", "b_id", F.col("a_n"), F.col("b_n"), F.col("a_pos"), F.col("b_pos"))
-            pairs = x.join(y, cond).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb"), "w")
-        joined = joined.unionByName(verified(often(pairs)))
-    comp = materialize(components(joined), "comp")
-    rep = sets.join(comp, sets["rep"] == comp["id"], "left").select("digest", F.coalesce("comp", "rep").alias("class"))
+    star = often(star.select(F.col("hub.gid").alias("a"), F.col("gid").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.lit(1).alias("w")), 2).unionByName(member.where("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b")))
+    first = verified(star)
+
+    # Lists that still hold several classes, and the members of each group as a list of their own: they share the whole prefix.
+    comp = components(first)
+    posted = post.join(member.select("gid", "node"), "gid").select("tok", "node", "n", "pos", F.lit(1).alias("w"))
+    posted = posted.unionByName(member.where("several").select(F.xxhash64("gid", F.lit("group")).alias("tok"), "node", "n", F.lit(0).alias("pos"), F.lit(1 << 20).alias("w")))
+    known = posted.join(comp.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    known = materialize(known, "known")
+    release(post, comp)
+    apart = known.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi")
+    open_ = materialize(known.join(apart.select("tok", "lo", "c"), "tok"), "open")
+    release(known)
+    few = open_.where(F.col("c") <= SHORT_LIST)
+    x, y = (few.select("tok", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "pos", "comp", "w"))) for s in "ab")
+    pairs = x.join(y, "tok").where((F.col("a_node") < F.col("b_node")) & (F.col("a_comp") != F.col("b_comp")) & near("a_node", "b_node", F.col("a_n"), F.col("b_n"), F.col("a_pos"), F.col("b_pos")))
+    # Shingles that a pair shares in long lists are not counted, but then its members meet in blocks.
+    second = verified(often(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb"), F.col("a_w").alias("w"))))
+    joined = first.unionByName(second)
+    many = open_.where(F.col("c") > SHORT_LIST)
+    third = None
+    if not many.isEmpty():
+        # Classes that meet in long lists are one cluster, whose members are compared block by block.
+        met = components(many.select(F.col("comp").alias("a"), F.col("lo").alias("b")))
+        inside = many.select("node", "n", "comp").distinct().join(met.select(F.col("id").alias("comp"), F.col("comp").alias("grp")), "comp")
+        inside = materialize(inside, "inside")
+        whole = needed(inside.select("node"))
+        third = _joining(inside, whole, num, den)
+        release(met, inside, whole)
+        joined = joined.unionByName(third)
+    release(open_)
+    comp = components(joined)
+    release(member, first, second, *([third] if third is not None else []))
+    named = sets.join(comp.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("grp", F.coalesce("comp", "node"))
+    named = materialize(named.select("digest", "node", "id", "copies", "n", "grp"), "named")
+    release(comp, sets)
+    rep = named.groupBy("grp").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("m"))
+    rep = named.join(rep, "grp").select("digest", "node", "class", "copies")
     out = [F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("component_id")]
     if not links:
         return rows.join(rep, "digest", "left").select(*out)
-    rep = materialize(rep, "classes")
-    counts = _link_counts(texts, rows.join(rep, "digest"), n, num, den)
-    return rows.join(rep.join(counts, "digest"), "digest", "left").select(*out, F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
-
-
-def _group_lists(member: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of one prefix group as a list of their own; they share all of the prefix, from place 0 on."""
-    m = member.where("several").join(comp, "id", "left")
-    return m.select(F.xxhash64("gid", F.lit("group")).alias("tok"), "id", "n", F.lit(0).alias("pos"), F.lit(1 << 20).alias("w"), F.coalesce("comp", "id").alias("comp"))
+    several = named.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("grp")
+    inside = materialize(named.join(several, "grp").select("grp", "node", "id", "digest", "n", "copies"), "inside")
+    whole = materialize(_whole_sets(texts, inside.select("node", "id", "digest"), n), "whole")
+    counts = _link_counts(inside, whole, num, den)
+    release(whole, inside)
+    rep = rep.join(counts, "node", "left").select("digest", "class", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return rows.join(rep, "digest", "left").select(*out, F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))

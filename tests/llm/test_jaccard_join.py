@@ -97,3 +97,30 @@ def test_numbers_of_links(spark, sf, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 7)  # many blocks
     got = [(r["doc_id"], r["n_links"]) for r in jaccard_components(df, 2, 80, 100, links=True).collect()]
     assert len(got) == df.count() and set(got) == {*want.items(), (None, None)}
+
+
+def test_one_prefix_group_and_long_lists_without_links(spark, monkeypatch):
+    """Hundreds of documents share prefix and size, and none is like another but for planted ones."""
+    from anonframe.llm import jaccard_join
+
+    rng = random.Random(3)
+    pool = [f"p{k}" for k in range(40)]
+    docs = [[*(f"c{k}" for k in range(5)), *rng.sample(pool, 15)] for _ in range(300)] + [rng.sample(pool, 20) for _ in range(900)]
+    for at in (3, 7, 7, 400, 401):  # near copies: one word goes
+        docs.append([*docs[at][:-1], "x"])
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 150)
+    seen = []
+    forest = jaccard_join._joining
+    monkeypatch.setattr(jaccard_join, "_joining", lambda inside, *a: (seen.append(inside.count()), forest(inside, *a))[1])
+    want = brute(rows, 1, 80, 100)
+    assert got(jaccard_components(df, 1, 80, 100)) == want and len({c for _, _, c in want}) < len(rows)
+    assert seen and seen[0] > 1000  # they meet in blocks, not as pairs
+
+
+def test_an_id_with_two_texts_links_nothing_of_its_own(spark):
+    t, u = "a b c d e f g h", "q r s t u v w x"
+    df = spark.createDataFrame([(1, t), (2, t), (2, u), (3, u)], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard_components(df, links=True).collect())
+    assert found == [(1, 1, 1), (2, 1, 1), (2, 2, 1), (3, 2, 1)]
