@@ -9,6 +9,7 @@ which ranks of which length go where; pieces get their ranks in parallel.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -23,10 +24,10 @@ from .common import materialize, shuffle_partitions
 from .words import slices
 
 CAPACITY = 2048
-#: Cached words of a worker, in each cache and generation.
-CACHE_WORDS = 250_000
+#: Bytes of cached words of a worker process, and what an entry takes besides its word and ids.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 180
 #: Bytes of text that are tokenised at once.
-TEXT_BYTES = 1 << 19
+TEXT_BYTES = 1 << 20
 
 
 class OpenBins:
@@ -115,10 +116,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Letters (ASCII and precomposed Latin-1), then punctuation that no contraction or special token contains: two tokens' worth of text that never merge.
-SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{-~]*)")
 
-LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Text in which the rules below tell the words: ASCII and precomposed Latin-1 letters, no special token.
+SIMPLE = re.compile(r"(?!.*<\|)[\t-\r -~À-ÖØ-öø-ÿ]*", re.S)
+#: Words of lower-cased simple text: contractions, letters, single digits, runs of other marks.
+WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+#: What splits any text without changing its ids: ASCII white space.
+CHUNKS = re.compile(r"[^\t-\r ]+")
+#: The normaliser and pre-tokeniser for which these rules hold.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 def _byte_alphabet() -> list[str]:
@@ -128,75 +135,103 @@ def _byte_alphabet() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
-class Chunks:
-    """Token ids (little-endian bytes) of chunks between white space.
+class Words:
+    """Token ids (little-endian bytes) of texts, word by word.
 
-    A chunk of letters and closing punctuation is the letters' ids and then the
-    punctuation's, whatever the case of its ASCII letters, so only distinct
-    folded words are encoded, and they go straight to the merge model.  The
-    words' cache has two generations: when the young one is full the old one
-    goes, and words that are still in use come back.
+    A lower-casing vocabulary that splits at words encodes each word by itself,
+    so only distinct words of simple text are encoded, and they go straight to
+    the merge model.  Chunks between white space that are not simple go to the
+    tokenizer as they are.  A vocabulary with other rules gets whole texts.  The
+    cache has two generations bounded in bytes: when the young one is full the
+    old one goes, and words that are still in use come back.
     """
 
-    def __init__(self, coder):
-        self.coder, self.model = coder, coder.model
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.chunks: dict[bytes, bytes] = {}
+    def __init__(self, coder, cache_bytes: int = CACHE_BYTES):
+        self.coder, self.model, self.limit = coder, coder.model, cache_bytes // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
         # The vocabulary's symbols for the bytes of letters beyond ASCII.
         self.symbols = dict(enumerate(_byte_alphabet()))
-
-    def encode(self, word: bytes) -> bytes:
-        ids = self.young.get(word)
-        if ids is None:
-            ids = self.old.get(word)
-            if ids is None:
-                if LETTERS.fullmatch(word):
-                    text = word.decode() if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(self.symbols)
-                    ids = [t.id for t in self.model.tokenize(text)]
-                else:
-                    ids = self.coder.encode(word.decode(), add_special_tokens=False).ids
-                ids = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.young) >= CACHE_WORDS:
-                self.old, self.young = self.young, {}
-            self.young[word] = ids
-        return ids
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        known = self.chunks
-        distinct = set().union(*split)
-        new = distinct.difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = distinct
-        for c in new:
-            m = SIMPLE.fullmatch(c.lower())
-            if m is None:
-                known[c] = self.encode(c)
+        self.by_word = self._rules_hold()
+
+    def _rules_hold(self) -> bool:
+        coder = self.coder
+        state = lambda part: json.loads(part.__getstate__()) if part is not None else {}
+        split, *rest = state(coder.pre_tokenizer).get("pretokenizers", [{}])
+        return (
+            type(self.model).__name__ == "BPE"
+            and state(coder.normalizer) == NORMALIZER
+            and split.get("pattern") == {"Regex": SPLITS}
+            and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+            and [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
+            and not coder.truncation
+            and all("<|" in x.content for x in coder.get_added_tokens_decoder().values())
+        )
+
+    def _ids(self, word: str) -> bytes:
+        if SIMPLE.fullmatch(word):
+            # Letters and marks in the byte alphabet; ASCII stands for itself.
+            word = word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
+            ids = [t.id for t in self.model.tokenize(word)]
+        else:
+            ids = self.coder.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _words(self, text: str) -> list[str]:
+        if SIMPLE.fullmatch(text):
+            return WORDS.findall(text.lower())
+        out: list[str] = []
+        for chunk in CHUNKS.findall(text):
+            if SIMPLE.fullmatch(chunk):
+                out += WORDS.findall(chunk.lower())
             else:
-                a, b = m.groups()
-                known[c] = self.encode(a) + self.encode(b) if b else self.encode(a)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+                out.append(chunk)
+        return out
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            coded = (self.coder.encode(t, add_special_tokens=False).ids for t in texts)
+            return [struct.pack(f"<{len(x)}I", *x) for x in coded]
+        split = [self._words(t) for t in texts]
+        known = self.young
+        for word in set().union(*split).difference(known):
+            ids = self.old.get(word)
+            known[word] = ids = self._ids(word) if ids is None else ids
+            self.size += len(word) + len(ids) + ENTRY_BYTES
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        if self.size > self.limit:
+            self.old, self.young, self.size = known, {}, 0
+        return out
+
+
+#: Of this worker process, by path: a task finds the words of the tasks before it.
+_CODERS: dict[str, Words] = {}
+
+
+def _coder(path: str) -> Words:
+    from tokenizers import Tokenizer
+
+    if path not in _CODERS:
+        _CODERS[path] = Words(Tokenizer.from_file(path))
+    return _CODERS[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokens of every whole text plus ``end_id``, cut every ``capacity`` tokens.
+    """Tokens of every whole text plus ``end_id``, cut every ``capacity`` tokens; see ``Words``.
 
-    The vocabulary splits at white space, so a text's ids are those of its
-    chunks between ASCII white space; see ``Chunks``.  Null texts count as
-    empty and give the end id alone.
+    Null texts count as empty and give the end id alone; rows of null or repeated
+    id are cut each.  Any vocabulary of the tokenizers library will do; the fast
+    way is taken only by those whose rules are the ones that it states.
     """
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        coder = Chunks(Tokenizer.from_file(tokenizer_path))
+        coder = _coder(tokenizer_path)
         tail = np.array([end_id], "<u4").tobytes()
         width = 4 * capacity
         for batch in slices(batches, "text", TEXT_BYTES):
             cols: list[list] = [[], [], [], [], []]
-            for key, ids in zip(batch.column(0).to_pylist(), coder.ids([(t or "").encode() for t in batch.column(1).to_pylist()]), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), coder.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids += tail
                 for p, a in enumerate(range(0, len(ids), width)):
                     part = ids[a : a + width]

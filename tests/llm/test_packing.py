@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from anonframe.llm.packing import pack_documents, plan
+from anonframe.llm.packing import Words, pack_documents, plan
 from tokenizers import Tokenizer
 
 from .fixtures import documents, rows
@@ -59,3 +59,24 @@ def test_pieces_and_places(spark, sf):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_words_equal_the_tokenizer():
+    coder = Tokenizer.from_file(PATH)
+    words = Words(coder, 1 << 14)  # generations change often
+    assert words.by_word
+    rng = random.Random(2)
+    marks = list("abcXYZ'  \t\n\x0b.,;-_<>|!\"#09éÉßÿÀ×÷øİſﬁ́中🙂\x85\x1c\xa0“’¿²ªº")
+    some = ["don't", "'tis", "<|endoftext|>", "<|", "it'S", "'re", "x'd", "1'm", "ÉCOLE", "naïve"]
+    for _ in range(4000):
+        text = "".join(rng.choice(marks) if rng.random() < 0.7 else rng.choice(some) + rng.choice(["", " "]) for _ in range(rng.randint(0, 30)))
+        assert np.frombuffer(words.ids([text])[0], "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids, text
+    assert words.size <= words.limit
+
+
+def test_another_vocabulary_gets_whole_texts():
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    words = Words(coder)
+    assert not words.by_word
+    for text in ("Hello World, it's  1999", "", "À la\nune"):
+        assert np.frombuffer(words.ids([text])[0], "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids
