@@ -73,7 +73,9 @@ class PrivateFrame:
             if GEN + c in sides[s][1].df.columns:
                 out.append(F.col(f"{s}.`{GEN + c}`").alias(GEN + a))
         both = F.col(f"l.`{DUMMY}`") | F.col(f"r.`{DUMMY}`")
-        apart = F.coalesce(F.col(f"l.`{left_on}`") != F.col(f"r.`{right_on}`"), F.lit(True))
+        # Null-safe, so that its negation is an equi-join key for nullable columns too: truncate() joins on the values.
+        key = F.col(f"r.`{right_on}`")
+        apart = ~(F.col(f"l.`{left_on}`").eqNullSafe(key) & key.isNotNull())
         return PrivateFrame(left.join(right, lg == rg, "inner").select(*out, (both | apart).alias(DUMMY)))
 
     def semi_join(self, other: PrivateFrame, left_on: str, right_on: str) -> PrivateFrame:
@@ -141,15 +143,16 @@ class PrivateFrame:
         order = [F.asc(c) if ascending else F.desc(c) for c in cols]
         return PrivateFrame(self.df.sortWithinPartitions(*order) if per_host else self.df.orderBy(*order))
 
-    def dummy_sort(self) -> PrivateFrame:
-        return PrivateFrame(self.df.orderBy(DUMMY))
+    def dummy_sort(self, spread: int = 64) -> PrivateFrame:
+        """Real rows first.  ``spread`` ranges of a random number keep either kind from meeting in one task."""
+        return PrivateFrame(self.df.withColumn("__at", F.floor(F.rand(0) * spread)).orderBy(DUMMY, "__at").drop("__at"))
 
     def truncate(self) -> PrivateFrame:
         """Drop the padding; Catalyst folds this into the join below, so padding is never built."""
         return PrivateFrame(self.df.where(~F.col(DUMMY)))
 
     def truncate_to(self, bound: int) -> PrivateFrame:
-        """At most ``bound`` rows, real ones first (a cardinality bound on an intermediate result)."""
+        """At most ``bound`` rows, real ones first (a cardinality bound on an intermediate result): each task keeps ``bound`` rows, no sort."""
         return PrivateFrame(self.df.orderBy(DUMMY).limit(bound))
 
     def top(self, n: int, *order: Column | str) -> PrivateFrame:
@@ -166,7 +169,8 @@ class PrivateFrame:
         """
         df = self.df.repartition(n) if shuffle_first else self.df
         host = F.pmod(F.xxhash64(*[F.col(GEN + c) if GEN + c in df.columns else F.col(c) for c in cols]), F.lit(n)).cast("int")
-        return PrivateFrame(df.withColumn(HOST, host).repartition(n, HOST))
+        placed = df.withColumn(HOST, host)
+        return PrivateFrame(placed.repartitionById(n, F.col(HOST)))  # partition h is host h
 
     def make_oblivious(self, col: str) -> PrivateFrame:
         """One class for all: joins on ``col`` pair everything."""
