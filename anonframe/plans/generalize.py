@@ -1,16 +1,16 @@
 """Class maps: k-anonymous ranges of join keys over several relations and owners.
 
-Counts are one distributed aggregation.  The greedy walk is sequential by
-nature, but over distinct keys only: sorted keys stream through the driver in
-chunks, next-class pointers of a chunk come from prefix sums by binary search,
-and finished classes leave at once, so the driver holds a chunk and the open
-class.
+Counts are one distributed aggregation.  Classes are greedy ranges of ascending
+keys, so where one begins depends on all before it; but what a range partition
+of the keys does to the walk can be told in advance.  A partition's summary says
+where each owner's sums first reach 1 to k (the open class closes there) and, for
+each such place, where the partition's last class then begins and what it has
+collected.  The driver walks over summaries, whose size depends on relations,
+owners and k alone, and the partitions label their keys in parallel.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import HOST
+from ..sources import free, materialize
 
-#: Keys of a chunk of the walk; up to so many go to the driver in one Arrow table.
+#: Keys of a range partition, about.
 CHUNK_KEYS = 1_000_000
+#: Keys that the older, driver-side forms take; they are for small domains and refuse larger ones.
+SMALL_DOMAIN = 1_000_000
 
 
 def key_counts(df: DataFrame, column: str) -> DataFrame:
@@ -39,6 +42,10 @@ class GenMap:
     k: int
     criterion: str
 
+    def free(self) -> None:
+        """Delete the labels' table; frames that carry classes of this map can't be read afterwards."""
+        free(self.df)
+
     def class_stats(self) -> DataFrame:
         """Classes, and the least, most and mean keys of one."""
         per = self.df.where("gen <> -1").groupBy("gen").agg(F.count(F.lit(1)).alias("n"))
@@ -80,146 +87,195 @@ def range_map(counts: dict[str, DataFrame], hosts: int, k: int, criterion: str =
     can't close joins the class before.  ``parity`` instead goes on for as long as
     any relation still closes.
     """
+    if criterion not in ("range", "complement"):
+        raise ValueError(f"no criterion {criterion!r}")
     views, names = None, [f"v{i}" for i in range(len(counts))]
     for name, c in zip(names, counts.values(), strict=True):
         v = _views(c, hosts, criterion).withColumnRenamed("v", name)
         views = v if views is None else views.join(v, "key", "inner")
-    # One pass gets the keys in order; keys that a relation lacks never reach the driver.
-    walker = Walker(len(counts), hosts, k, criterion, parity)
-    spark = next(iter(counts.values())).sparkSession
-    parts: list[pa.Table] = []
-    kept = _Parts(spark, parts)
-    for keys, values in _chunks(views, names, hosts):
-        kept.add(*walker.feed(keys, values))
-    kept.add(*walker.finish())
-    labels = kept.frame(views.schema["key"].dataType)
+    views = materialize(views, "views")
+    kind = views.schema["key"].dataType.simpleString()
+    if criterion == "complement":
+        labels = _stream(views, names, hosts, k, kind)
+    else:
+        labels = _labels(views, names, hosts, k, kind, parity)
     if len(counts) > 1:
         gone = domain(counts).where(~F.col("everywhere")).select("key", F.lit(-1).cast("long").alias("gen"))
         labels = labels.unionByName(gone)
+    labels = materialize(labels, "classes")
+    free(views)
     return GenMap(labels, counts, hosts, k, criterion)
 
 
-def _chunks(views: DataFrame, names: list[str], hosts: int):
-    """(keys, counts[key, relation, host]) in ascending order of the keys: at once if they fit in a chunk, else a sorted stream."""
-
-    def arrays(t: pa.Table):
-        cols = [np.asarray(pa.concat_arrays(t.column(n).chunks or [pa.array([], pa.list_(pa.int64()))]).flatten(), np.int64).reshape(-1, hosts) for n in names]
-        return t.column("key"), np.stack(cols, axis=1)
-
-    few = views.limit(CHUNK_KEYS + 1).toArrow()
-    if len(few) <= CHUNK_KEYS:
-        yield arrays(few.sort_by("key"))
-        return
-    ordered = views.orderBy("key")
-    batch = []
-    for r in ordered.toLocalIterator(prefetchPartitions=True):
-        batch.append(r)
-        if len(batch) == CHUNK_KEYS:
-            yield _rows(batch, names)
-            batch = []
-    if batch:
-        yield _rows(batch, names)
-
-
-def _rows(batch, names):
-    return pa.chunked_array([pa.array([r["key"] for r in batch])]), np.array([[r[n] for n in names] for r in batch], np.int64)
-
-
-class _Parts:
-    """Labelled keys: an Arrow table while they are few, then Parquet in the shared folder."""
-
-    def __init__(self, spark, parts):
-        self.spark, self.parts, self.path = spark, parts, None
-
-    def add(self, keys, labels) -> None:
-        if len(labels):
-            self.parts.append(pa.table({"key": keys, "gen": pa.array(labels, pa.int64())}))
-            if self.path or sum(len(p) for p in self.parts) > CHUNK_KEYS:
-                self.flush()
-
-    def flush(self) -> None:
-        if self.path is None:
-            base = self.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="anonframe-maps-")
-            self.path = f"{base.rstrip('/')}/gen-{uuid.uuid4().hex}"
-        self.spark.createDataFrame(pa.concat_tables(self.parts)).write.mode("append").parquet(self.path)
-        self.parts.clear()
-
-    def frame(self, key_type) -> DataFrame:
-        if self.path:
-            if self.parts:
-                self.flush()
-            out = self.spark.read.parquet(self.path)
-        elif self.parts:
-            out = self.spark.createDataFrame(pa.concat_tables(self.parts))
-        else:
-            out = self.spark.createDataFrame([], f"key {key_type.simpleString()}, gen long")
-        return out.select(F.col("key").cast(key_type).alias("key"), "gen")
-
-
-class Walker:
-    """The greedy walk, fed chunk by chunk."""
-
-    def __init__(self, relations: int, hosts: int, k: int, criterion: str, parity: bool):
-        if criterion not in ("range", "complement"):
-            raise ValueError(f"no criterion {criterion!r}")
-        self.k, self.criterion, self.parity = k, criterion, parity
-        self.keys: list = []
-        self.counts = np.zeros((0, relations, hosts), np.int64)
-        self.at, self.label = 0, 0  # index of the open class's first key; label of the class before
-
-    def feed(self, keys, counts, end: bool = False):
-        self.keys = [*self.keys, keys] if len(keys) else self.keys
-        self.counts = np.concatenate([self.counts, counts])
-        stops = self._complement() if self.criterion == "complement" else self._range(end)
-        labels, begin = [], 0
-        for stop in stops:
-            self.label = self.at
-            labels.append(np.full(stop - begin, self.label))
-            self.at += stop - begin
-            begin = stop
-        if end:
-            labels.append(np.full(len(self.counts) - begin, self.label))
-            begin = len(self.counts)
-        flat = pa.chunked_array([c for k in self.keys for c in (k.chunks if isinstance(k, pa.ChunkedArray) else [k])]) if self.keys else pa.chunked_array([pa.array([], pa.int64())])
-        out = flat.slice(0, begin), np.concatenate(labels) if labels else np.zeros(0, np.int64)
-        self.keys = [flat.slice(begin)] if begin < len(flat) else []
-        self.counts = self.counts[begin:]
+def _arrays(t: pa.Table, names: list[str], hosts: int) -> np.ndarray:
+    """counts[key, relation, host] in the order of the rows."""
+    return np.stack([np.asarray(t.column(n).combine_chunks().flatten(), np.int64).reshape(-1, hosts) for n in names], axis=1)
+
+
+class Chunk:
+    """Ascending keys of one partition: ``counts[key, relation, host]``."""
+
+    def __init__(self, counts: np.ndarray, k: int, live: list[int]):
+        self.n, self.k, self.live = len(counts), k, live
+        self.total = np.concatenate([np.zeros((1, *counts.shape[1:]), np.int64), np.cumsum(counts, axis=0)])
+        # stop[i]: where a class that begins at i ends, if it does so here; n + 1 if not.
+        self.stop = np.zeros(self.n + 1, np.int64)
+        for r in live:
+            for h in range(counts.shape[2]):
+                t = self.total[:, r, h]
+                self.stop = np.maximum(self.stop, np.searchsorted(t, t + k, "left"))
+
+    def summary(self, start: int | None) -> dict:
+        """What the walk over partitions needs; ``start``: a place where a class begins in any case."""
+        heads = np.stack([[np.searchsorted(self.total[:, r, h], np.arange(1, self.k + 1), "left") for h in range(self.total.shape[2])] for r in self.live])
+        cand = np.unique(np.r_[heads.ravel(), [] if start is None else [start]]).astype(np.int64)
+        cand = cand[cand <= self.n]
+        known: dict[int, tuple[int, int]] = {}
+        for i in cand.tolist():
+            path = []
+            while i not in known and self.stop[i] <= self.n:
+                path.append(i)
+                i = int(self.stop[i])
+            last, before = known.get(i, (i, -1))
+            known[i] = last, before
+            for j in reversed(path):
+                before = j if before < 0 else before
+                known[j] = last, before
+        last, before = (np.array([known[i][x] for i in cand.tolist()], np.int64) for x in (0, 1))
+        carry = np.minimum(self.total[self.n] - self.total[last], self.k) if len(cand) else np.zeros((0, *self.total.shape[1:]), np.int64)
+        return {"n": self.n, "sum": np.minimum(self.total[self.n], self.k), "heads": heads, "cand": cand, "last": last, "before": before, "carry": carry}
+
+    def classes(self, begin: int) -> list[tuple[int, int]]:
+        """(first key, end) of the classes from ``begin`` on; the last may be open."""
+        out, i = [], begin
+        while i < self.n:
+            end = min(int(self.stop[i]), self.n)
+            out.append((i, end))
+            i = end
         return out
 
-    def finish(self):
-        return self.feed([], self.counts[:0], end=True)
-
-    def _range(self, end: bool) -> list[int]:
-        n = len(self.counts)
-        # stop[r][i]: smallest j so that all hosts' sums over i..j-1 reach k in relation r; n+1 if none.
-        stop = np.zeros((self.counts.shape[1], n + 1), np.int64)
-        for r in range(self.counts.shape[1]):
-            for h in range(self.counts.shape[2]):
-                total = np.concatenate([[0], np.cumsum(self.counts[:, r, h])])
-                j = np.searchsorted(total, total + self.k, "left")
-                stop[r] = np.maximum(stop[r], j)
-        out, i = [], 0
-        while i < n:
-            own = stop[:, i]
-            done = own <= n
-            if done.all():
-                i = int(own.max())
-            elif self.parity and end and done.any():
-                i = int(own[done].max())
-            else:
-                break
-            out.append(i)
-        return out
 
-    def _complement(self) -> list[int]:
-        out = []
-        total = np.zeros(self.counts.shape[1:], np.int64)
-        for i, c in enumerate(self.counts):
-            total = total + c
-            if all(meets_complement(row, self.k) for row in total):
-                out.append(i + 1)
-                total = np.zeros_like(total)
-        return out
+def walk(summaries: list[dict], k: int, live: list[int], start: int = 0, before: int = 0):
+    """The greedy walk from key number ``start`` over partitions in order of their keys.
+
+    Returns (entry of each partition: (first place where a class begins, label of
+    the keys before it or None), first key of the open class at the end, label
+    of the class before it, its sums up to k).
+    """
+    entries, base = [], 0
+    carry, label, begun = None, start, False
+    for s in summaries:
+        n = s["n"]
+        if not begun and start < base + n:
+            at, entry, begun = start - base, (start - base, None), True
+        elif not begun:
+            entries.append((n, None))
+            base += n
+            continue
+        else:
+            need = k - carry[live]
+            at = 0
+            for r, h in np.argwhere(need > 0).tolist():
+                at = max(at, int(s["heads"][r, h, need[r, h] - 1]))
+            if at > n:
+                carry = np.minimum(carry + s["sum"], k)
+                entries.append((n, label))
+                base += n
+                continue
+            entry = (at, label)
+            before = label
+        j = int(np.searchsorted(s["cand"], at))
+        before = base + int(s["before"][j]) if s["before"][j] >= 0 else before
+        carry, label = s["carry"][j], base + int(s["last"][j])
+        entries.append(entry)
+        base += n
+    return entries, label, before, carry
+
+
+def label_chunk(n: int, base: int, phases: list[tuple[int, Chunk | None, tuple]], tail: tuple[int, int]) -> np.ndarray:
+    """Labels of a partition's keys; each phase (first key, chunk, entry) writes over the one before, the open tail over all."""
+    out = np.zeros(n, np.int64)
+    for _, chunk, (at, label) in phases:
+        if label is not None:
+            out[:at] = label
+        for a, b in chunk.classes(at):
+            out[a:b] = base + a
+    first, before = tail
+    out[max(0, first - base) :] = before
+    return out
+
+
+def _labels(views: DataFrame, names: list[str], hosts: int, k: int, kind: str, parity: bool) -> DataFrame:
+    """(key, gen) under 'range': one pass for the summaries, one for the labels; parity adds a pass a relation at most."""
+    n = views.count()
+    parts = max(1, -(-n // CHUNK_KEYS))
+    if parts > 1:
+        ranged = materialize(views.repartitionByRange(parts, "key").withColumn("part", F.spark_partition_id()), "ranges")
+    else:
+        ranged = views.withColumn("part", F.lit(0))
+    sizes = dict.fromkeys(range(parts), 0) | ({r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()} if parts > 1 else {0: n})  # a row a partition
+    order = [p for p in range(parts) if sizes[p]]
+    bases = dict(zip(order, np.cumsum([0, *(sizes[p] for p in order)]).tolist(), strict=False))
+
+    def summaries(live: list[int], start: int) -> list[dict]:
+        def run(group: pa.Table) -> pa.Table:
+            part = group.column("part")[0].as_py()
+            own = start - bases[part]
+            s = Chunk(_arrays(group.sort_by("key"), names, hosts), k, live).summary(own if 0 <= own < group.num_rows else None)
+            fields = ("heads", "cand", "last", "before", "carry", "sum")
+            return pa.table({"part": pa.array([part], pa.int32()), "n": [s["n"]], **{f: pa.array([s[f].ravel().tolist()], pa.list_(pa.int64())) for f in fields}})
+
+        got = ranged.groupBy("part").applyInArrow(run, "part int, n long, heads array<long>, cand array<long>, last array<long>, before array<long>, carry array<long>, sum array<long>").collect()
+        shapes = {"heads": (len(live), hosts, k), "carry": (-1, len(names), hosts), "sum": (len(names), hosts)}
+        return [{"n": r["n"], **{f: np.array(r[f], np.int64).reshape(shapes.get(f, -1)) for f in ("heads", "cand", "last", "before", "carry", "sum")}} for r in sorted(got, key=lambda r: r["part"])]
+
+    phases: list[tuple[int, list[int], dict]] = []
+    live, start, before = list(range(len(names))), 0, 0
+    while order:
+        entries, first, before, carry = walk(summaries(live, start), k, live, start, before)
+        phases.append((start, live, dict(zip(order, entries, strict=True))))
+        closing = [r for r in live if carry is not None and (carry[r] >= k).all()]
+        tail, start = (first, before), first
+        if not parity or not closing or first >= n:
+            break
+        live = closing
+
+    def label(group: pa.Table) -> pa.Table:
+        group = group.sort_by("key")
+        part = group.column("part")[0].as_py()
+        counts = _arrays(group, names, hosts)
+        done = [(first, Chunk(counts, k, live), at[part]) for first, live, at in phases if first < bases[part] + len(counts)]
+        out = label_chunk(len(counts), bases[part], done, tail)
+        return pa.table({"key": group.column("key"), "gen": pa.array(out, pa.int64())})
+
+    return ranged.groupBy("part").applyInArrow(label, f"key {kind}, gen long")
+
+
+def _stream(views: DataFrame, names: list[str], hosts: int, k: int, kind: str) -> DataFrame:
+    """(key, gen) under 'complement', which is not monotone: one executor task reads the sorted partitions one after another and holds the open class."""
+
+    def run(batches):
+        at, label, total, keys = 0, 0, np.zeros((len(names), hosts), np.int64), []
+        for batch in batches:
+            counts = _arrays(pa.Table.from_batches([batch]), names, hosts)
+            begin, out, labels = 0, [], []
+            for i, c in enumerate(counts):
+                total = total + c
+                if all(meets_complement(row, k) for row in total):
+                    held = [*keys, batch.column("key").slice(begin, i + 1 - begin)]
+                    m = sum(map(len, held))
+                    out += held
+                    labels.append(np.full(m, at))
+                    label, at, keys, begin = at, at + m, [], i + 1
+                    total = np.zeros_like(total)
+            keys.append(batch.column("key").slice(begin))
+            if labels:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(out), pa.array(np.concatenate(labels), pa.int64())], names=["key", "gen"])
+        if sum(map(len, keys)):
+            rest = pa.concat_arrays(keys)
+            yield pa.RecordBatch.from_arrays([rest, pa.array(np.full(len(rest), label), pa.int64())], names=["key", "gen"])
+
+    return views.orderBy("key").coalesce(1).mapInArrow(run, f"key {kind}, gen long")
 
 
 def meets_complement(own, k: int) -> bool:
@@ -243,13 +299,20 @@ def verify(labels: DataFrame, counts: dict[str, DataFrame], hosts: int, k: int,
     return out
 
 
+def _small(views: DataFrame) -> list:
+    rows = views.limit(SMALL_DOMAIN + 1).collect()
+    if len(rows) > SMALL_DOMAIN:
+        raise ValueError(f"more than {SMALL_DOMAIN} keys; use range_map")
+    return rows
+
+
 def dense_range_map(counts: dict[str, DataFrame], hosts: int, k: int) -> DataFrame:
     """The older range form: all integers from 0 to the largest key, labelled by their range's first number, under 'complement'.
 
-    Raises ValueError if some but not all relations run out.  Driver-side: for
-    small integer domains.
+    Raises ValueError if some but not all relations run out.  Driver-side, for
+    integer domains of at most SMALL_DOMAIN keys; raises for larger ones.
     """
-    own = [{r["key"]: r["v"] for r in _views(c, hosts, "complement").collect()} for c in counts.values()]
+    own = [{r["key"]: r["v"] for r in _small(_views(c, hosts, "complement"))} for c in counts.values()]
     top = max((max(o) for o in own if o), default=-1)
     spark = next(iter(counts.values())).sparkSession
     labels, begin, before = [], 0, 0
@@ -276,9 +339,9 @@ def greedy_merge_map(counts: DataFrame, hosts: int, k: int) -> DataFrame:
     """The older greedy form for one relation: classes that fail 'complement' are merged, small with large.
 
     Ties go by the smaller label.  A last failing class joins the smallest other
-    one.  Driver-side: for small domains.
+    one.  Driver-side, for at most SMALL_DOMAIN keys; raises for larger domains.
     """
-    groups = {r["key"]: ([r["key"]], np.array(r["v"], np.int64)) for r in _views(counts, hosts, "complement").collect()}
+    groups = {r["key"]: ([r["key"]], np.array(r["v"], np.int64)) for r in _small(_views(counts, hosts, "complement"))}
 
     def into(a, b):
         keys, own = groups.pop(b)

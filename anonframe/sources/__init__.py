@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,3 +56,36 @@ def save(df: DataFrame, name: str, mode: str = "errorifexists") -> None:
 def fetch(df: DataFrame, limit: int | None = None) -> list:
     """Rows to the driver; ``limit`` bounds them."""
     return (df if limit is None else df.limit(limit)).collect()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
+
+    A session in one process (master ``local``) without that setting gets a
+    temporary folder and keeps it; on a cluster the setting must be there.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="anonframe-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again; ``free`` deletes it."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._anon_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote; nothing may read it any more."""
+    for t in tables:
+        path = getattr(t, "_anon_path", None)
+        if path:
+            p = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

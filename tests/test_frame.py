@@ -179,9 +179,32 @@ def walk(rels, hosts, k, parity=False):
     return out
 
 
-def test_walker_against_loops_in_chunks():
+def by_partitions(views, k, cuts, parity):
+    """The walk over summaries of the partitions that ``cuts`` makes, without Spark."""
+    import numpy as np
+
+    bounds = [0, *cuts, len(views)]
+    spans = list(zip(bounds, bounds[1:], strict=False))
+    live, start, before, phases = list(range(views.shape[1])), 0, 0, []
+    while True:
+        chunks = [g.Chunk(views[a:b], k, live) for a, b in spans]
+        got = [c.summary(start - a if a <= start < b else None) for c, (a, b) in zip(chunks, spans, strict=True)]
+        entries, first, before, carry = g.walk(got, k, live, start, before)
+        phases.append((start, chunks, entries))
+        closing = [r for r in live if (carry[r] >= k).all()]
+        start = first
+        if not parity or not closing or first >= len(views):
+            break
+        live = closing
+    out = []
+    for i, (a, b) in enumerate(spans):
+        done = [(s, c[i], e[i]) for s, c, e in phases if s < b]
+        out += g.label_chunk(b - a, a, done, (first, before)).tolist()
+    return dict(enumerate(np.array(out).tolist()))
+
+
+def test_walk_over_partitions_against_loops():
     import numpy as np
-    import pyarrow as pa
 
     rng = random.Random(4)
     for _ in range(400):
@@ -190,17 +213,9 @@ def test_walker_against_loops_in_chunks():
         for _ in range(rng.randint(1, 3)):
             rels.append([(key, h, rng.randint(1, 5)) for key in range(n) for h in range(hosts) if rng.random() < 0.5 or h == key % hosts])
         views = np.array([[[sum(c for q, x, c in r if q == key) - (own := sum(c for q, x, c in r if (q, x) == (key, h))) or own for h in range(hosts)] for r in rels] for key in range(n)])
+        cuts = sorted(rng.sample(range(1, n), rng.randint(0, min(n - 1, 6))))
         for parity in (False, True):
-            w = g.Walker(len(rels), hosts, k, "range", parity)
-            got, at = {}, 0
-            while at < n:
-                m = rng.randint(1, 7)
-                keys, labels = w.feed(pa.chunked_array([pa.array(range(at, min(n, at + m)))]), views[at : at + m])
-                got |= dict(zip(keys.to_pylist(), labels.tolist(), strict=True))
-                at += m
-            keys, labels = w.finish()
-            got |= dict(zip(keys.to_pylist(), labels.tolist(), strict=True))
-            assert got == walk(rels, hosts, k, parity)
+            assert by_partitions(views, k, cuts, parity) == walk(rels, hosts, k, parity)
 
 
 def test_modes_agree_and_padding_is_as_predicted(spark):
@@ -231,11 +246,40 @@ def test_modes_agree_and_padding_is_as_predicted(spark):
     assert o.padded_count() == len(left) * len(right)
 
 
-def test_map_in_chunks_and_parquet_parts(spark, monkeypatch):
+def test_map_over_several_partitions(spark, monkeypatch):
     monkeypatch.setattr(g, "CHUNK_KEYS", 7)
     triples = [(i, h, 1 + i % 3) for i in range(50) for h in range(2)]
-    small = {r["key"]: r["gen"] for r in g.range_map({"a": counts(spark, triples)}, 2, 6).df.collect()}
-    assert small == walk([triples], 2, 6)
+    other = [(i, h, 1 + i % 2) for i in range(50) for h in range(2) if i < 30 or h == 0]
+    for k in (1, 6, 40, 1000):
+        m = g.range_map({"a": counts(spark, triples)}, 2, k)
+        assert {r["key"]: r["gen"] for r in m.df.collect()} == walk([triples], 2, k)
+    for parity in (False, True):
+        m = g.range_map({"a": counts(spark, triples), "b": counts(spark, other)}, 2, 6, parity=parity)
+        assert {r["key"]: r["gen"] for r in m.df.collect()} == walk([triples, other], 2, 6, parity)
+    m.free()
+    empty = g.range_map({"a": counts(spark, triples).where("false")}, 2, 6)
+    assert empty.df.count() == 0
+
+
+def by_complement(triples, hosts, k):
+    out, held, total, label = {}, [], [0] * hosts, 0
+    for key in sorted({t[0] for t in triples}):
+        held.append(key)
+        total = [x + sum(n for q, h, n in triples if (q, h) == (key, i)) for i, x in enumerate(total)]
+        full = sum(total)
+        if full >= k if sum(x > 0 for x in total) == 1 else all(full - x >= k for x in total):
+            label = len(out)
+            out |= dict.fromkeys(held, label)
+            held, total = [], [0] * hosts
+    return out | dict.fromkeys(held, label)
+
+
+def test_complement_against_a_loop(spark):
+    rng = random.Random(8)
+    for k in (1, 4, 15, 500):
+        triples = [(i, h, rng.randint(1, 4)) for i in range(60) for h in range(3) if rng.random() < 0.5]
+        m = g.range_map({"a": counts(spark, triples)}, 3, k, criterion="complement")
+        assert {r["key"]: r["gen"] for r in m.df.collect()} == by_complement(triples, 3, k)
 
 
 def test_older_algorithms(spark):
