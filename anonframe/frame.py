@@ -78,6 +78,12 @@ class PrivateFrame:
         apart = ~(F.col(f"l.`{left_on}`").eqNullSafe(key) & key.isNotNull())
         return PrivateFrame(left.join(right, lg == rg, "inner").select(*out, (both | apart).alias(DUMMY)))
 
+    def padded_join_size(self, other: PrivateFrame, left_on: str, right_on: str) -> DataFrame:
+        """(padded): rows that ``join`` would have with padding, from the counts of each class; nothing is paired."""
+        a = self.df.groupBy(self.gen(left_on).alias("c")).agg(F.count(F.lit(1)).alias("a"))
+        b = other.df.groupBy(other.gen(right_on).alias("c")).agg(F.count(F.lit(1)).alias("b"))
+        return a.join(b, "c").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("padded"))
+
     def semi_join(self, other: PrivateFrame, left_on: str, right_on: str) -> PrivateFrame:
         keys = other.reveal().select(F.col(right_on).alias(left_on)).distinct()
         return PrivateFrame(self.df.join(keys, left_on, "left_semi").select(*self.df.columns))

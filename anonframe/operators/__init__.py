@@ -1,33 +1,14 @@
-"""The operators as plain functions over PrivateFrame, for pipelines written as function calls."""
+"""Operators over several private frames; those over one or two are methods of ``PrivateFrame``."""
 
 from __future__ import annotations
 
-from ..frame import PrivateFrame
+from pyspark.sql import functions as F
 
-filter = PrivateFrame.filter  # noqa: A001
-project = PrivateFrame.project
-join = PrivateFrame.join
-semi_join = PrivateFrame.semi_join
-anti_join = PrivateFrame.anti_join
-count_by = PrivateFrame.count_by
-aggregate = PrivateFrame.aggregate
-distinct = PrivateFrame.distinct
-union = PrivateFrame.union
-sort = PrivateFrame.sort
-dummy_sort = PrivateFrame.dummy_sort
-truncate = PrivateFrame.truncate
-truncate_to = PrivateFrame.truncate_to
-top = PrivateFrame.top
-sample = PrivateFrame.sample
-repartition = PrivateFrame.repartition
-make_oblivious = PrivateFrame.make_oblivious
-generalize = PrivateFrame.generalize
+from ..frame import PrivateFrame
 
 
 def merge_partials(*partials: PrivateFrame, keys: list[str], sums: list[str]) -> PrivateFrame:
     """One table from owners' partial sums and counts."""
-    from pyspark.sql import functions as F
-
     both = partials[0]
     for p in partials[1:]:
         both = both.union(p)

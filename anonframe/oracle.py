@@ -30,9 +30,32 @@ m AS (SELECT d.key, CAST(coalesce(c.i, 0) AS BIGINT) AS gen FROM dom d ASOF LEFT
 """
 
 
+def complement_sql(rels: list[tuple[str, str, str]], k: int, domain: str | None = None) -> str:
+    """CTEs ending in ``m(key, gen)`` for two owners under 'complement': one recursive step for each key in order.
+
+    ``domain``: SQL of the keys instead of those that all relations have.
+    """
+    n = len(rels)
+    counts = " UNION ALL ".join(f"SELECT {i} AS rel, {key} AS key, CAST({host} % 2 AS INT) AS host FROM {table}" for i, (table, key, host) in enumerate(rels))
+    cols = ", ".join(f"count(*) FILTER (rel = {i} AND host = {h}) AS c{i}{h}" for i in range(n) for h in (0, 1))
+    state = [f"c{i}{h}" for i in range(n) for h in (0, 1)]
+    full = " AND ".join(f"(x.c{i}0 + x.c{i}1 >= {k} AND (x.c{i}0 = 0 OR x.c{i}1 = 0) OR x.c{i}0 >= {k} AND x.c{i}1 >= {k})" for i in range(n))
+    total = ", ".join(f"CASE WHEN w.closed THEN 0 ELSE w.{c} END + o.{c} AS {c}" for c in state)
+    keys = domain or f"SELECT key FROM raw GROUP BY key HAVING count(DISTINCT rel) = {n}"
+    return f"""WITH RECURSIVE raw AS ({counts}),
+dom AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS idx FROM ({keys})),
+o AS (SELECT d.idx, d.key, {", ".join(f"coalesce({c}, 0) AS {c}" for c in state)} FROM dom d LEFT JOIN (SELECT key, {cols} FROM raw GROUP BY key) USING (key)),
+w AS (SELECT CAST(-1 AS BIGINT) AS idx, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS before, {", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in state)}, FALSE AS closed
+  UNION ALL SELECT x.*, {full} FROM (SELECT o.idx, CASE WHEN w.closed THEN o.idx ELSE w.first END AS first, CASE WHEN w.closed THEN w.first ELSE w.before END AS before, {total} FROM w JOIN o ON o.idx = w.idx + 1) x),
+fin AS (SELECT first, before, closed FROM w ORDER BY idx DESC LIMIT 1),
+m AS (SELECT o.key, CAST(CASE WHEN NOT fin.closed AND w.first = fin.first THEN fin.before ELSE w.first END AS BIGINT) AS gen FROM w JOIN o USING (idx) CROSS JOIN fin
+  UNION ALL SELECT key, CAST(-1 AS BIGINT) FROM raw WHERE key NOT IN (SELECT key FROM dom) GROUP BY key)
+"""
+
+
 CO = [("customer", "c_custkey", "c_custkey"), ("orders", "o_custkey", "o_orderkey")]
 OL = [("orders", "o_orderkey", "o_orderkey"), ("lineitem", "l_orderkey", "l_suppkey")]
-REVENUE = "round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue"
+REVENUE = "CAST(round(sum(CAST(l_extendedprice AS DECIMAL(15, 2)) * (1 - CAST(l_discount AS DECIMAL(15, 2)))), 2) AS DOUBLE) AS revenue"
 
 Q3 = f"""SELECT l_orderkey, o_orderdate, {REVENUE} FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
 WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1995-03-22' AND l_shipdate > TIMESTAMP '1995-03-22' GROUP BY l_orderkey, o_orderdate"""
@@ -50,6 +73,11 @@ ORACLE_SQL: dict[str, str] = {
     "local_branch": "SELECT o_custkey, round(sum(o_totalprice), 2) AS t_sum, count(*) AS t_count FROM orders GROUP BY o_custkey",
     "fdw_union": "SELECT o_orderstatus, count(*) AS n FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT * FROM orders WHERE o_orderkey % 2 = 1) GROUP BY o_orderstatus",
     "cohort_ctas": "SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type LIKE 'p%')",
+    "cohort_table": "SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type LIKE 'p%')",
+    "sql_multi_join": "SELECT c_mktsegment, o_orderpriority, l_linenumber FROM customer, orders, lineitem WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey AND l_returnflag = 'R' AND o_orderpriority ILIKE '%high%'",
+    "sql_group_by": "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY o_orderpriority",
+    "random_table_ranges": "SELECT CAST(1000 AS BIGINT) AS n, TRUE AS low_a, TRUE AS high_a, TRUE AS low_b, TRUE AS high_b, TRUE AS spread",
+    "sample_members": "SELECT CAST(50 AS BIGINT) AS n, CAST(50 AS BIGINT) AS \"distinct\"",
     "filter_eq": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'",
     "filter_neq": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'",
     "filter_contains": "SELECT o_orderkey, o_orderpriority FROM orders WHERE contains(o_orderpriority, 'HIGH')",
@@ -59,16 +87,19 @@ ORACLE_SQL: dict[str, str] = {
     "join_inner": "SELECT c_custkey, o_orderkey, c_name, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey",
     "join_string_key": "SELECT a.n_name, a.n_nationkey, b.n_regionkey FROM nation a JOIN nation b ON a.n_name = b.n_name",
     "join_left_deep": """SELECT c_custkey, o.o_orderkey AS k1, p.o_orderkey AS k2 FROM customer JOIN orders o ON c_custkey = o.o_custkey JOIN orders p ON c_custkey = p.o_custkey
-WHERE c_custkey < 100 AND o.o_totalprice < 200000 AND p.o_orderstatus = 'F'""",
+WHERE o.o_totalprice < 200000 AND p.o_orderstatus = 'F'""",
     "join_semi": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
     "join_anti": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "join_anti_rich": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
+    "random_join_modes": "SELECT CAST(1 AS BIGINT) AS answers, TRUE AS any",
     "join_generalized_padded": gen_sql(CO, 5) + """, l AS (SELECT gen, count(*) AS a FROM customer JOIN m ON key = c_custkey WHERE gen <> -1 GROUP BY gen),
 r AS (SELECT gen, count(*) AS b FROM orders JOIN m ON key = o_custkey WHERE gen <> -1 GROUP BY gen),
 x AS (SELECT gen, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey JOIN m ON key = c_custkey WHERE gen <> -1 GROUP BY gen)
 SELECT l.gen, a * b AS padded, coalesce(n, 0) AS "real" FROM l JOIN r USING (gen) LEFT JOIN x USING (gen)""",
     "join_generalized_revealed": "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey",
-    "join_oblivious_count": """SELECT (SELECT count(*) FROM customer WHERE c_custkey < 60) * (SELECT count(*) FROM orders WHERE o_orderkey < 2000) AS padded,
-(SELECT count(*) FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey < 60 AND o_orderkey < 2000) AS "real" """,
+    "join_oblivious_count": """SELECT (SELECT count(*) FROM customer) * (SELECT count(*) FROM orders) AS padded,
+(SELECT count(*) FROM customer JOIN orders ON c_custkey = o_custkey) AS "real" """,
+    "agg_count_empty": "SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders WHERE o_totalprice < 0 GROUP BY o_custkey)) AS groups, (SELECT count(*) FROM orders WHERE o_totalprice < 0) AS count",
     "agg_count": "SELECT o_custkey, count(*) AS count FROM orders GROUP BY o_custkey",
     "agg_sum_count_partial": "SELECT l_orderkey, l_returnflag, sum(l_quantity) AS q_sum, count(*) AS q_count FROM lineitem GROUP BY ALL",
     "agg_avg_final": "SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS avg_q FROM lineitem GROUP BY ALL",
@@ -88,6 +119,9 @@ SELECT l.gen, a * b AS padded, coalesce(n, 0) AS "real" FROM l JOIN r USING (gen
     "gen_map_orders_k7": gen_sql(OL, 7) + "SELECT key, gen FROM m",
     "gen_map_parity": gen_sql(CO, 7, parity=True) + "SELECT key, gen FROM m",
     "gen_map_scan_counts": gen_sql(CO, 5, where=("c_mktsegment = 'BUILDING'", "o_orderstatus = 'F'")) + "SELECT key, gen FROM m",
+    "gen_map_complement": complement_sql(CO, 5) + "SELECT key, gen FROM m",
+    "gen_dense_range": complement_sql([("customer", "c_nationkey", "c_custkey")], 20, "SELECT unnest(range(0, (SELECT max(c_nationkey) + 1 FROM customer))) AS key") + "SELECT key, gen FROM m",
+    "gen_one_host": gen_sql([("customer", "c_nationkey", "c_custkey")], 50, hosts=1) + "SELECT key, gen FROM m",
     "gen_discard": "SELECT o_orderkey AS key FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION SELECT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
     "gen_zip": gen_sql(OL, 5) + "SELECT o_orderkey, o_custkey, gen FROM orders JOIN m ON key = o_orderkey WHERE gen <> -1",
     "gen_class_stats": gen_sql(OL, 5) + "SELECT count(*) AS classes, min(n) AS min_keys, max(n) AS max_keys, avg(n) AS avg_keys FROM (SELECT gen, count(*) AS n FROM m WHERE gen <> -1 GROUP BY gen)",
@@ -103,3 +137,11 @@ JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY c_mkt
 ORACLE_SQL |= {f"tpch_q3_{m}": Q3 for m in ("plain", "kanon", "oblivious", "kanon10", "kanon50")}
 ORACLE_SQL |= {f"tpch_q5_{m}": Q5 for m in ("plain", "kanon", "oblivious")}
 ORACLE_SQL |= {f"tpch_q10_{m}": Q10 for m in ("plain", "kanon", "oblivious")}
+ORACLE_SQL |= {f"left_deep_kanon{k}": ORACLE_SQL["join_left_deep"] for k in (5, 50)}
+ORACLE_SQL |= {
+    f"padding_k{k}": gen_sql(CO, k) + """, l AS (SELECT gen, count(*) AS a FROM customer JOIN m ON key = c_custkey WHERE gen <> -1 GROUP BY gen),
+r AS (SELECT gen, count(*) AS b FROM orders JOIN m ON key = o_custkey WHERE gen <> -1 GROUP BY gen)
+SELECT (SELECT count(DISTINCT gen) FROM m WHERE gen <> -1) AS classes, (SELECT count(*) FROM m WHERE gen <> -1) AS keys,
+(SELECT coalesce(sum(a * b), 0) FROM l JOIN r USING (gen)) AS padded, (SELECT count(*) FROM customer JOIN orders ON c_custkey = o_custkey) AS "real" """
+    for k in (5, 10, 50)
+}

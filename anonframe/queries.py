@@ -15,7 +15,8 @@ from .plans.generalize import dense_range_map, greedy_merge_map, range_map
 HOSTS = 2
 #: Owner of each table's rows.
 OWNERS = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "supplier": "s_suppkey", "events": "event_id", "nation": "n_nationkey", "region": "r_regionkey", "part": "p_partkey"}
-REVENUE = "l_extendedprice * (1 - l_discount)"
+#: In decimals: sums of doubles depend on their order, and rounding shows it.
+REVENUE = "CAST(l_extendedprice AS DECIMAL(15, 2)) * (1 - CAST(l_discount AS DECIMAL(15, 2)))"
 
 
 def federation(spark: SparkSession, sf_dir: str, *tables: str, hosts: int = HOSTS, **owners: str) -> Federation:
@@ -66,6 +67,33 @@ def cohort_ctas(spark, d):
     return sources.query(spark, "SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT user_id FROM cohort)")
 
 
+def cohort_table(spark, d):
+    """The cohort written as a table (CREATE TABLE AS in the shared folder), and the rows of its members, by a semijoin."""
+    sources.register(spark, d, "events")
+    cohort = sources.create_table_as(spark, "cohort_members", "SELECT DISTINCT user_id FROM events WHERE event_type LIKE 'p%'")
+    events = PrivateFrame(sources.parquet(spark, d, "events").select("event_id", "user_id", "event_type"))
+    return events.semi_join(PrivateFrame(cohort), "user_id", "user_id").reveal()
+
+
+def sql_multi_join(spark, d):
+    """A comma join with its conditions in WHERE, as SQL over the federation's views."""
+    fed = federation(spark, d, "customer", "orders", "lineitem")
+    sql = "SELECT c_mktsegment, o_orderpriority, l_linenumber FROM fed_customer, fed_orders, fed_lineitem WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey AND l_returnflag = 'R' AND o_orderpriority ILIKE '%high%'"
+    return fed.scan_sql(sql).reveal()
+
+
+def sql_group_by(spark, d):
+    """Aggregates in the scan's own SQL."""
+    fed = federation(spark, d, "orders")
+    return fed.scan_sql("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM fed_orders GROUP BY o_orderpriority").reveal()
+
+
+def random_table_ranges(spark, d):
+    """What is certain of a random table: its rows and the ranges of its values."""
+    t = sources.random_table(spark, 1000, seed=7, a=10_000, b=100)
+    return t.agg(F.count(F.lit(1)).alias("n"), F.min("a").between(1, 10_000).alias("low_a"), F.max("a").between(1, 10_000).alias("high_a"), F.min("b").between(1, 100).alias("low_b"), F.max("b").between(1, 100).alias("high_b"), (F.countDistinct("b") > 50).alias("spread"))
+
+
 def random_table(spark, d):
     return sources.random_table(spark, 1000, seed=7, a=10_000, b=100)
 
@@ -120,16 +148,6 @@ def join_string_key(spark, d):
 def join_left_deep(spark, d):
     """A chain on one shared key."""
     fed = federation(spark, d, "customer", "orders")
-    c = fed.scan("customer", ["c_custkey"], where="c_custkey < 100")
-    o = fed.scan("orders", ["o_orderkey", "o_custkey"], where="o_totalprice < 200000")
-    p = fed.scan("orders", ["o_orderkey", "o_custkey"], where="o_orderstatus = 'F'")
-    first = c.join(o, "c_custkey", "o_custkey", [("l", "c_custkey"), ("r", "o_orderkey", "k1")])
-    return first.join(p, "c_custkey", "o_custkey", [("l", "c_custkey"), ("l", "k1"), ("r", "o_orderkey", "k2")]).reveal()
-
-
-def join_left_deep_whole(spark, d):
-    """The chain of ``join_left_deep`` over all customers."""
-    fed = federation(spark, d, "customer", "orders")
     c = fed.scan("customer", ["c_custkey"])
     o = fed.scan("orders", ["o_orderkey", "o_custkey"], where="o_totalprice < 200000")
     p = fed.scan("orders", ["o_orderkey", "o_custkey"], where="o_orderstatus = 'F'")
@@ -164,14 +182,6 @@ def join_generalized_revealed(spark, d):
 
 
 def join_oblivious_count(spark, d):
-    """The cross product of two slices: its size and its real rows."""
-    fed = federation(spark, d, "customer", "orders")
-    c = fed.scan("customer", ["c_custkey"], where="c_custkey < 60").make_oblivious("c_custkey")
-    o = fed.scan("orders", ["o_orderkey", "o_custkey"], where="o_orderkey < 2000").make_oblivious("o_custkey")
-    return c.join(o, "c_custkey", "o_custkey", CO).df.agg(F.count(F.lit(1)).alias("padded"), F.sum(F.when(~F.col(DUMMY), 1).otherwise(0)).alias("real"))
-
-
-def join_oblivious_count_whole(spark, d):
     """The cross product of the whole tables: its size, as a product of counts, and its real rows, by the equi-join."""
     fed = federation(spark, d, "customer", "orders")
     c = fed.scan("customer", ["c_custkey"]).make_oblivious("c_custkey")
@@ -181,7 +191,79 @@ def join_oblivious_count_whole(spark, d):
     return a.crossJoin(b).crossJoin(real).select((F.col("a") * F.col("b")).alias("padded"), "real")
 
 
+def join_anti_rich(spark, d):
+    """Customers without any order of more than 200000."""
+    _, c, o = _customer_orders(spark, d)
+    return c.anti_join(o.filter(F.col("o_totalprice") > 200000), "c_custkey", "o_custkey").reveal()
+
+
+def left_deep(spark, d, k):
+    """The chain of ``join_left_deep`` with classes of k."""
+    fed = federation(spark, d, "customer", "orders")
+    scans = {"customer": (fed.scan("customer", ["c_custkey"]), "c_custkey"), "orders": (fed.scan("orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"]), "o_custkey")}
+    private, _ = fed.generalize(scans, k)
+    c, o = private["customer"], private["orders"]
+    first = c.join(o.filter(F.col("o_totalprice") < 200000), "c_custkey", "o_custkey", [("l", "c_custkey"), ("r", "o_orderkey", "k1")]).truncate()
+    return first.join(o.filter(eq("o_orderstatus", "F")), "c_custkey", "o_custkey", [("l", "c_custkey"), ("l", "k1"), ("r", "o_orderkey", "k2")]).truncate().reveal()
+
+
+def left_deep_kanon5(spark, d):
+    return left_deep(spark, d, 5)
+
+
+def left_deep_kanon50(spark, d):
+    return left_deep(spark, d, 50)
+
+
+def padding(spark, d, k):
+    """Classes, distinct keys, and rows of customer join orders with and without padding; the padded join is counted, not built."""
+    fed = federation(spark, d, "customer", "orders")
+    scans = {"customer": (fed.scan("customer", ["c_custkey"]), "c_custkey"), "orders": (fed.scan("orders", ["o_orderkey", "o_custkey"]), "o_custkey")}
+    private, classes = fed.generalize(scans, k)
+    c, o = private["customer"], private["orders"]
+    keys = classes.df.where("gen <> -1").agg(F.countDistinct("gen").alias("classes"), F.count(F.lit(1)).alias("keys"))
+    real = c.join(o, "c_custkey", "o_custkey", CO).truncate().df.agg(F.count(F.lit(1)).alias("real"))
+    return keys.crossJoin(c.padded_join_size(o, "c_custkey", "o_custkey")).crossJoin(real)
+
+
+def padding_k5(spark, d):
+    return padding(spark, d, 5)
+
+
+def padding_k10(spark, d):
+    return padding(spark, d, 10)
+
+
+def padding_k50(spark, d):
+    return padding(spark, d, 50)
+
+
+def random_join_modes(spark, d):
+    """Two random tables joined plain, generalized with several k, and obliviously: the answers agree."""
+    fed = Federation(spark, HOSTS)
+    for name, rows, seed in (("ra", 2000, 1), ("rb", 1500, 11)):
+        fed.register(name, sources.random_table(spark, rows, seed=seed, a=10_000, b=512), "a")
+    scans = {"ra": (fed.scan("ra"), "b"), "rb": (fed.scan("rb"), "b")}
+    out = None
+    for k in (0, 5, 25, -1):
+        if k > 0:
+            sides = list(fed.generalize(scans, k)[0].values())
+        else:
+            sides = [f.make_oblivious("b") if k else f for f, _ in scans.values()]
+        n = sides[0].join(sides[1], "b", "b", [("l", "a"), ("r", "a", "a2"), ("l", "b")]).truncate().df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a") * 3 + F.col("a2")).alias("s"))
+        out = n if out is None else out.unionByName(n)
+    # Keys that one table lacks have no class, and no partner either.
+    return out.agg(F.countDistinct("n", "s").alias("answers"), (F.min("n") > 0).alias("any"))
+
+
 # -- aggregation -------------------------------------------------------------------
+def agg_count_empty(spark, d):
+    """COUNT over no rows has no groups, and one row of 0 without keys."""
+    none = federation(spark, d, "orders").scan("orders", ["o_custkey"], where="o_totalprice < 0")
+    groups = none.count_by("o_custkey").reveal().agg(F.count(F.lit(1)).alias("groups"))
+    return groups.crossJoin(none.count_by(pad_groups=True).df.select("count"))
+
+
 def agg_count(spark, d):
     return federation(spark, d, "orders").scan("orders", ["o_custkey"]).count_by("o_custkey").reveal()
 
@@ -253,6 +335,14 @@ def sample_n(spark, d):
     return federation(spark, d, "customer").scan("customer", ["c_custkey"]).sample(50, seed=3).reveal()
 
 
+def sample_members(spark, d):
+    """What is certain of a sample: its size, that it has no row twice, and that all are customers."""
+    fed = federation(spark, d, "customer")
+    got = fed.scan("customer", ["c_custkey"]).sample(50, seed=3)
+    known = got.semi_join(fed.scan("customer", ["c_custkey"], where="c_custkey IS NOT NULL"), "c_custkey", "c_custkey").reveal()
+    return known.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_custkey").alias("distinct"))
+
+
 # -- distribution ------------------------------------------------------------------
 def repartition_hosts(spark, d):
     """Rows and owners of each key after repartitioning: one owner each."""
@@ -361,7 +451,7 @@ def tpch_q3(spark, d, mode="plain", k=5):
     co, li = _mode(fed, {"orders": (co, "o_orderkey"), "lineitem": (li, "l_orderkey")}, mode, k)
     j = co.join(li, "o_orderkey", "l_orderkey", [("r", "l_orderkey"), ("l", "o_orderdate"), ("l", "o_custkey"), ("r", "l_extendedprice"), ("r", "l_discount")]).truncate()
     out = j.aggregate(["l_orderkey", "o_orderdate"], {"revenue": F.expr(REVENUE)}, kanon_col="o_custkey" if mode == "kanon" else None)
-    return out.reveal().select("l_orderkey", "o_orderdate", F.round("revenue", 2).alias("revenue"))
+    return out.reveal().select("l_orderkey", "o_orderdate", F.round("revenue", 2).cast("double").alias("revenue"))
 
 
 def tpch_q5(spark, d, mode="plain", k=5):
@@ -379,7 +469,7 @@ def tpch_q5(spark, d, mode="plain", k=5):
     co, li = _mode(fed, {"orders": (co, "o_orderkey"), "lineitem": (li, "l_orderkey")}, mode, k)
     col = co.join(li, "o_orderkey", "l_orderkey", [("r", "l_suppkey"), ("r", "l_extendedprice"), ("r", "l_discount")]).truncate()
     j = sn.join(col, "s_suppkey", "l_suppkey", [("l", "n_name"), ("r", "l_extendedprice"), ("r", "l_discount")]).truncate()
-    return j.aggregate(["n_name"], {"revenue": F.expr(REVENUE)}).reveal().select("n_name", F.round("revenue", 2).alias("revenue"))
+    return j.aggregate(["n_name"], {"revenue": F.expr(REVENUE)}).reveal().select("n_name", F.round("revenue", 2).cast("double").alias("revenue"))
 
 
 def tpch_q10(spark, d, mode="plain", k=5):
@@ -395,7 +485,7 @@ def tpch_q10(spark, d, mode="plain", k=5):
     j = co.join(li, "o_orderkey", "l_orderkey", [*keep, ("r", "l_extendedprice"), ("r", "l_discount")]).truncate()
     j = n.join(j, "n_nationkey", "c_nationkey", [("r", "c_custkey"), ("r", "c_name"), ("r", "c_acctbal"), ("l", "n_name"), ("r", "l_extendedprice"), ("r", "l_discount")]).truncate()
     out = j.aggregate(["c_custkey", "c_name", "c_acctbal", "n_name"], {"revenue": F.expr(REVENUE)}, kanon_col="c_custkey" if mode == "kanon" else None)
-    return out.reveal().withColumn("revenue", F.round("revenue", 2))
+    return out.reveal().withColumn("revenue", F.round("revenue", 2).cast("double"))
 
 
 def comorbidity(spark, d):
@@ -447,11 +537,11 @@ def _named(*fs) -> dict:
 
 
 QUERIES: dict = _named(
-    scan_project, scan_one_host, scan_sql, stats_scan, local_branch, fdw_union, cohort_ctas, random_table,
+    scan_project, scan_one_host, scan_sql, stats_scan, local_branch, fdw_union, cohort_ctas, cohort_table, sql_multi_join, sql_group_by, random_table, random_table_ranges,
     filter_eq, filter_neq, filter_contains, filter_chain_and, filter_marks_dummies, filter_expression,
-    join_inner, join_string_key, join_left_deep, join_left_deep_whole, join_semi, join_anti, join_generalized_padded, join_generalized_revealed, join_oblivious_count, join_oblivious_count_whole,
-    agg_count, agg_sum_count_partial, agg_avg_final, agg_secure_two_level, agg_pad_groups, agg_min, agg_merge_partials, distinct,
-    union_all, sort_desc_topk, sort_global, dummy_sort_truncate, truncate_bound, sample_n, repartition_hosts,
+    join_inner, join_string_key, join_left_deep, left_deep_kanon5, left_deep_kanon50, join_semi, join_anti, join_generalized_padded, join_generalized_revealed, join_oblivious_count, join_anti_rich, padding_k5, padding_k10, padding_k50, random_join_modes,
+    agg_count, agg_count_empty, agg_sum_count_partial, agg_avg_final, agg_secure_two_level, agg_pad_groups, agg_min, agg_merge_partials, distinct,
+    union_all, sort_desc_topk, sort_global, dummy_sort_truncate, truncate_bound, sample_n, sample_members, repartition_hosts,
     gen_counts, gen_map_k5, gen_map_orders_k7, gen_map_parity, gen_map_complement, gen_map_scan_counts, gen_discard, gen_zip, gen_class_stats, gen_verify, gen_dense_range, gen_greedy_merge, gen_one_host, make_oblivious,
     comorbidity, dosage, aspirin_profile, two_party_aggregate, event_counts,
 )

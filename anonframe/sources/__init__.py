@@ -53,6 +53,13 @@ def save(df: DataFrame, name: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).saveAsTable(name)
 
 
+def create_table_as(spark: SparkSession, name: str, sql: str) -> DataFrame:
+    """CREATE TABLE AS in the shared folder, with a view of that name; ``free`` deletes the table."""
+    out = materialize(query(spark, sql), name)
+    out.createOrReplaceTempView(name)
+    return out
+
+
 def fetch(df: DataFrame, limit: int | None = None) -> list:
     """Rows to the driver; ``limit`` bounds them."""
     return (df if limit is None else df.limit(limit)).collect()
