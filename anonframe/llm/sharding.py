@@ -2,13 +2,16 @@
 
 Size-weighted key samples give quantile boundaries; rows are range-partitioned
 by them, ranges that came out overfull are subdivided by further samples, and
-exact byte sums of the ranges place every row.  Rows that are large against a
-shard (a bounded number) are dealt out first, largest to the emptiest shard.  Texts are never shuffled: after
-the scan a row is its id, its size and two hashes.
+exact byte sums of the ranges place every row.  Equal texts have one key and
+stay together.  Groups of them (often one long text) that are large against a
+shard, a bounded number, are dealt out first, each whole to the emptiest shard;
+the ranges fill what is left.  Only a group of more than a shard is cut.  Texts
+are never shuffled: after the scan a row is its id, its size and two hashes.
 """
 
 from __future__ import annotations
 
+from itertools import count as turns
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,10 +24,8 @@ RANGE_ROWS = 250_000
 OVERSAMPLE = 16
 #: A range is overfull beyond this many times the mean bytes of a range.
 OVERFULL = 2.0
-#: A group of equal texts of at most this share of a shard is never split.
-WHOLE_GROUP = 0.002
-#: A row of more than this part of a shard is placed by itself.
-LARGE = 200
+#: A group of equal texts is large beyond this part of a shard; there are at most shards * LARGE such groups.
+LARGE = 20
 
 
 def _range_of(bounds: list[tuple[int, int]]):
@@ -52,11 +53,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     Returns ``id_col``, size (UTF-8 bytes plus 1), text_crc32, law ('bytes'),
     shard, slot (from 0 without gaps in each shard) and grown_shard (null:
     under this law a further shard moves other rows too).  Rows are ordered by
-    a hash of the text, then id, so equal texts are neighbours; a group of
-    them stays in one shard unless it is larger than ``WHOLE_GROUP`` of a
-    shard, and then it is cut at shard boundaries.  Null texts count as empty;
-    null ids sort as the smallest id; repeated rows each get a slot; an empty
-    table gives no rows; other columns are ignored.
+    a hash of the text, then id, so equal texts are neighbours and share a shard;
+    a group of them that no shard has room for (more bytes than a shard, that
+    is, or one of several that nearly fill one) is cut at shard boundaries.
+    Null texts count as empty; null ids sort as the smallest id; repeated rows
+    each get a slot; a text of more than a shard's bytes is a shard's only
+    group; an empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -70,26 +72,27 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     total = rows.agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).first()
     total_bytes, count = total["s"] or 0, total["n"]
     ranges = max(shards * 4, -(-count // RANGE_ROWS))
+    target = max(1.0, total_bytes / shards)
+    large = rows.groupBy("key").agg(F.sum("size").alias("g"), F.count(F.lit(1)).alias("n")).where(F.col("g") > F.lit(target / LARGE)).collect()  # at most shards * LARGE groups
+    hot = {r["key"] for r in large}
     bounds: list[tuple[int, int]] = []
     drawn = F.pmod(F.xxhash64("key", "__id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     if total_bytes:
         # The chance of a draw is the row's share of the bytes times the draws, so the sample is of a fixed expected size.
         sample = rows.where(drawn < F.col("size") * F.lit(ranges * OVERSAMPLE / total_bytes)).select("key", "__id", "size")
-        bounds = _quantiles(sample.collect(), ranges, total_bytes / (ranges * OVERSAMPLE))
-        bounds = _subdivide(rows, bounds, total_bytes / ranges, drawn)
+        bounds = _quantiles(sample.collect(), ranges, total_bytes / (ranges * OVERSAMPLE), hot)
+        bounds = _subdivide(rows, bounds, total_bytes / ranges, drawn, hot)
 
     placed = rows.withColumn("range", _range_of(bounds))
-    # Rows of over 1/LARGE of a shard are few, whatever the corpus, and go to the emptiest shard; ranges fill what is left.
-    target = max(1.0, total_bytes / shards)
-    large = placed.where(F.col("size") > F.lit(target / LARGE))
-    room = [target] * shards
-    given: dict[int, list] = {k: [] for k in range(shards)}
-    for r in sorted(large.groupBy("size", "key", "__id").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (-r["size"], r["key"], r["__id"])):
+    room, homes = [target] * shards, []
+    for r in sorted(large, key=lambda r: (-r["g"], r["key"])):
         to = max(range(shards), key=lambda k: (room[k], -k))
-        room[to] -= r["size"] * r["n"]
-        given[to].append(r)
-    homes = [(r["key"], r["__id"], r["size"], k) for k, rs in given.items() for r in rs]
-    homes = placed.sparkSession.createDataFrame(homes, "key long, __id long, size long, home int")
+        if r["g"] <= room[to] or r["n"] == 1:
+            room[to] -= r["g"]
+            homes.append((r["key"], to))
+    whole = {k for k, _ in homes}
+    cut = [r["key"] for r in large if r["key"] not in whole]
+    homes = placed.sparkSession.createDataFrame(homes, "key long, home int")
     edges, run = [], 0.0
     for x in room[:-1]:
         run += max(0.0, x)
@@ -99,7 +102,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     w = Window.partitionBy("range").orderBy("key", "__id", "doc_id", "text_crc32", "size")
     group = Window.partitionBy("range", "key")
     small = F.when(F.col("home").isNull(), F.col("size")).otherwise(F.lit(0))
-    ordered = placed.join(F.broadcast(homes), ["key", "__id", "size"], "left")
+    ordered = placed.join(F.broadcast(homes), "key", "left")
     sums = ordered.groupBy("range").agg(F.sum(small).alias("bytes")).collect()  # a row a range
     at, offsets = 0, [0] * (len(bounds) + 1)
     for r in sorted(sums, key=lambda r: r["range"]):
@@ -108,7 +111,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     before = F.element_at(F.lit(offsets), F.col("range") + 1) + F.sum(small).over(w.rowsBetween(Window.unboundedPreceding, 0)) - small
     ordered = ordered.withColumn("small", small).withColumn("before", before)
     ordered = ordered.withColumn("g", F.sum("small").over(group)).withColumn("g0", F.min("before").over(group))
-    middle = F.when(F.col("g") <= target * WHOLE_GROUP, F.col("g0") + F.col("g") / 2).otherwise(F.col("before") + F.col("small") / 2)
+    by_row = F.col("key").isin(cut) if cut else F.lit(False)
+    middle = F.when(by_row, F.col("before") + F.col("small") / 2).otherwise(F.col("g0") + F.col("g") / 2)
     shard = F.coalesce(F.col("home"), F.size(F.filter(edges, lambda e: e <= F.col("middle"))))
     ordered = ordered.withColumn("middle", middle.cast("double")).select("doc_id", "size", "text_crc32", "range", "key", "__id", shard.cast("int").alias("shard"))
     ordered = materialize(ordered, "shard-placed")
@@ -129,8 +133,13 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     )
 
 
-def _quantiles(sample: list, ranges: int, weight: float) -> list[tuple[int, int]]:
-    """Boundaries at equal steps of sampled weight; a boundary within a key that no other boundary shares moves to the key's first row."""
+def _snapped(bounds, hot: set) -> list[tuple[int, int]]:
+    """Only a large group may be cut: other boundaries move to their key's first row."""
+    return sorted({(k, i if k in hot else -(1 << 63)) for k, i in bounds})
+
+
+def _quantiles(sample: list, ranges: int, weight: float, hot: set) -> list[tuple[int, int]]:
+    """Boundaries at equal steps of sampled weight."""
     rows = sorted((r["key"], r["__id"], max(weight, r["size"])) for r in sample)
     whole = sum(r[2] for r in rows)
     cut, run, k = [], 0.0, 1
@@ -139,13 +148,12 @@ def _quantiles(sample: list, ranges: int, weight: float) -> list[tuple[int, int]
         if run >= whole * k / ranges and k < ranges:
             cut.append((key, i))
             k = int(run * ranges / whole) + 1
-    often = {k for k in {c[0] for c in cut} if sum(c[0] == k for c in cut) > 1}
-    return sorted({c if c[0] in often else (c[0], -(1 << 63)) for c in cut})
+    return _snapped(cut, hot)
 
 
-def _subdivide(rows: DataFrame, bounds: list, mean: float, drawn) -> list[tuple[int, int]]:
+def _subdivide(rows: DataFrame, bounds: list, mean: float, drawn, hot: set) -> list[tuple[int, int]]:
     """While a range holds more than ``OVERFULL`` means in several rows, sample it again more densely and cut it."""
-    for turn in range(4):
+    for turn in turns():  # ends when no range is overfull, or when sampling finds no further boundary
         got = rows.groupBy(_range_of(bounds).alias("range")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), F.max("size").alias("top")).collect()
         over = {r["range"]: r for r in got if r["b"] > OVERFULL * mean and r["n"] > 1 and r["top"] < r["b"] / 2}
         if not over:
@@ -159,7 +167,7 @@ def _subdivide(rows: DataFrame, bounds: list, mean: float, drawn) -> list[tuple[
                 parts = max(2, round(r["b"] / mean))
                 picked = sorted((x["key"], x["__id"]) for x in drawn_rows)
                 more += [picked[len(picked) * j // parts] for j in range(1, parts) if picked]
-        grown = sorted({*bounds, *more})
+        grown = _snapped([*bounds, *more], hot)
         if len(grown) == len(bounds):
             break
         bounds = grown
