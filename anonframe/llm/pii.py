@@ -2,9 +2,13 @@
 
 One regular expression finds candidates; validators (Luhn, mod 97, octet and
 calendar ranges) decide which are personal data; each of these is permuted
-within its own format by a Feistel network under a secret key.  The
-permutation depends on the value alone, so equal values stay linked across
-documents, and different values of one format stay different.
+within its own format by a Feistel network under a secret key.  What is
+permuted is the bare value, digits or letters without the separators that it is
+written with, and separators go back to their places; so equal values stay
+linked across documents in any layout, and different values stay different.
+
+The key is a literal of the query's plan: whoever reads plans or event logs
+reads the key.
 """
 
 from __future__ import annotations
@@ -13,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-#: For trials; pass your own secret in production.
-KEY = "anonframe"
+#: Session setting of the key that the registered queries use, and the key of trials where it is unset.
+KEY_SETTING, TRIAL_KEY = "spark.anonframe.pii.key", "anonframe"
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Patterns in the order in which they are tried at a position.
@@ -36,6 +40,8 @@ IBAN_LENGTHS = {
     23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
+#: Country calling codes of one, two and (all others) three digits (ITU-T E.164).
+CALLING_CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: A border put beside a shorter candidate, and what stands for its first character in a text that has it already.
 BORDER, ESCAPE, OWN = "\uffff\ufffe", "\uffff", "\uffff\ufffd"
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -102,10 +108,20 @@ def feistel_text(value: Column, key: str, tweak: str, letters: int = 26) -> Colu
     return _let(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), begin, step), lambda s: F.concat(s["l"], s["r"]))
 
 
+def _laid_out(value: Column, like: Column) -> Column:
+    """The letters and digits of ``value``, in order, at the places that letters and digits have in ``like``; other characters are those of ``like``."""
+    place = lambda i: F.length(F.regexp_replace(F.substring(like, F.lit(1), i), "[^0-9A-Za-z]", ""))
+    put = lambda i: _let(F.substring(like, i, F.lit(1)), lambda c: F.when(F.regexp_like(c, F.lit("[0-9A-Za-z]")), F.substring(value, place(i), F.lit(1))).otherwise(c))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(like)), put), "")
+
+
+def _bare(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9A-Za-z]", "")
+
+
 def _last_digit(body: Column) -> Column:
-    """The digit that makes body pass the Luhn check; separators in body don't count."""
-    digits = F.regexp_replace(body, "[^0-9]", "")
-    return F.element_at(F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda c: F.call_function("luhn_check", F.concat(digits, c))), 1)
+    """The digit that makes body pass the Luhn check."""
+    return F.element_at(F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda c: F.call_function("luhn_check", F.concat(body, c))), 1)
 
 
 def _mod97(account: Column) -> Column:
@@ -120,9 +136,22 @@ def _valid_iban(m: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    body = feistel_text(F.substring(m, F.lit(5), F.length(m)), key, "iban")
-    check = lambda b: F.lpad((98 - _mod97(F.concat(F.regexp_replace(b, " ", ""), F.substring(m, 1, 2), F.lit("00")))).cast("string"), 2, "0")
-    return _let(body, lambda b: F.concat(F.substring(m, 1, 2), check(b), b))
+    body = feistel_text(F.substring(_bare(m), F.lit(5), F.length(m)), key, "iban")
+    check = lambda b: F.lpad((98 - _mod97(F.concat(b, F.substring(m, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+    return _let(_let(body, lambda b: F.concat(F.substring(m, 1, 2), check(b), b)), lambda v: _laid_out(v, m))
+
+
+def _card(m: Column, key: str) -> Column:
+    digits = _bare(m)
+    body = feistel_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+    return _let(_let(body, lambda b: F.concat(b, _last_digit(b))), lambda v: _laid_out(v, m))
+
+
+def _phone(m: Column, key: str) -> Column:
+    """The calling code stays; a number without one is permuted as what would follow it, so both forms stay linked."""
+    digits = _bare(m)
+    code = F.when(m.startswith("+"), F.regexp_extract(digits, CALLING_CODE, 1)).otherwise("")
+    return _let(F.concat(code, feistel_text(F.substring(digits, F.length(code) + 1, F.length(digits)), key, "phone")), lambda v: _laid_out(v, m))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -223,7 +252,6 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     at = F.instr(m, "@")
     lead = F.regexp_extract(m, r"^(.*?[=:] ?[\"'])", 1)
     value = F.substring(m, F.length(lead) + 1, F.length(m))
-    country = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[ .(-]))", 1)
     letters = lambda x: F.when(F.regexp_like(x, F.lit("^[0-9a-f]+$|^[0-9A-F]+$")), feistel_text(x, key, "hex", 6)).otherwise(feistel_text(x, key, "secret"))
     return (
         F.when(kind == "email", F.concat(feistel_text(F.substring(m, F.lit(1), at - 1), key, "email"), F.substring(m, at, F.length(m))))
@@ -232,20 +260,28 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         .when(kind == "date", _date(m, key))
         .when(kind == "ip", _ip(m, key))
         .when(kind == "ssn", _ssn(m, key))
-        .when(kind == "phone", F.concat(country, feistel_text(F.substring(m, F.length(country) + 1, F.length(m)), key, "phone")))
-        .when(kind == "card", _let(feistel_text(F.substring(m, F.lit(1), F.length(m) - 1), key, "card"), lambda b: F.concat(b, _last_digit(b))))
+        .when(kind == "phone", _phone(m, key))
+        .when(kind == "card", _card(m, key))
     )
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """Replace personal data in every whole text; add pii_kinds (array, a kind for each value replaced, in order).
+def session_key(spark) -> str:
+    return spark.conf.get(KEY_SETTING, TRIAL_KEY)
+
+
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """Replace personal data in every whole text, with a secret of your own as ``key``; add pii_kinds (array, a kind for each value replaced, in order).
 
     Kinds: email (its local part), secret (a quoted credential), iban, date
     (ISO), ip, ssn, phone and card.  A card or account number that fails its
     check is searched for a shorter one inside it; numbers that fail stay as
-    they are.  Null texts stay null and have no kinds; all other columns and rows
-    pass through; a column named pii_kinds is replaced.
+    they are.  Null and empty texts stay as they are and have no kinds; very long
+    texts are read whole; where two kinds match at one place, the first in that
+    order wins; all other columns and rows, repeated ones too, pass through; a
+    column named pii_kinds is replaced; an empty key raises ValueError.
     """
+    if not key:
+        raise ValueError("a key is needed")
     text = F.col(text_col)
     rows = docs.drop("pii_kinds").withColumn("__some", F.regexp_like(text, F.lit("[0-9@=:]")) & F.regexp_like(text, F.lit("@|[0-9](?:[ .()-]{0,3}[0-9]){3}|(?i:token|secret|passw|api.?key)")))
     found = F.when(F.col("__some"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))

@@ -10,9 +10,9 @@ from .common import table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import pseudonymize
+    from .pii import pseudonymize, session_key
 
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
