@@ -50,14 +50,40 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def _scripts(w: Words, at: np.ndarray) -> np.ndarray:
-    """Script of the first code point of each of the words ``at``."""
-    pad = np.r_[w.raw, np.zeros(4, np.uint8)].astype(np.int64)
-    s = w.start[at]
+def _script_at(pad: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(script, size in bytes) of the code points that begin at ``s``."""
     b = [pad[s + i] for i in range(4)]
+    size = np.select([b[0] < 0x80, b[0] < 0xE0, b[0] < 0xF0], [1, 2, 3], 4)
     cp = np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, (b[0] & 31) << 6 | b[1] & 63, np.where(b[0] < 0xF0, (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63, (b[0] & 7) << 18 | (b[1] & 63) << 12 | (b[2] & 63) << 6 | b[3] & 63)))
     k = np.searchsorted(_STARTS, cp, "right") - 1
-    return np.where(k >= 0, _SCRIPTS[k], 0)
+    return np.where(k >= 0, _SCRIPTS[k], 0), size
+
+
+def letter_words(texts: pa.Array) -> Words:
+    """Words of letters; quotation marks, dashes and other code points without a script at either end are cut off (to nothing, if there is no more)."""
+    w = Words(texts, LETTERS)
+    pad = np.r_[w.raw, np.zeros(4, np.uint8)].astype(np.int64)
+    at = np.flatnonzero(pad[w.start] >= 0x80)
+    while len(at):
+        script, size = _script_at(pad, w.start[at])
+        at, size = at[script == 0], size[script == 0]
+        w.start[at] = np.minimum(w.start[at] + size, w.end[at])
+        at = at[w.start[at] < w.end[at]]
+    at = np.flatnonzero((w.start < w.end) & (pad[w.end - 1] >= 0x80))
+    while len(at):
+        last = w.end[at] - 1
+        for _ in range(3):
+            last -= (pad[last] & 0xC0) == 0x80
+        at, last = (x[_script_at(pad, last)[0] == 0] for x in (at, last))
+        w.end[at] = np.maximum(last, w.start[at])
+        at = at[w.start[at] < w.end[at]]
+    return w
+
+
+def _scripts(w: Words, at: np.ndarray) -> np.ndarray:
+    """Script of the first code point of each of the words ``at``; 0 for one of which nothing is left."""
+    pad = np.r_[w.raw, np.zeros(4, np.uint8)].astype(np.int64)
+    return np.where(w.start[at] < w.end[at], _script_at(pad, w.start[at])[0], 0)
 
 
 def _grams(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +171,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", fit_doc
 
     def count(batches):
         for batch in slices(batches, "text"):
-            w = Words(batch.column("text"), LETTERS)
+            w = letter_words(batch.column("text"))
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()])
             rows = []
             for k in np.unique(lang):
@@ -189,7 +215,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         k = len(model.langs)
         for batch in slices(batches, "text"):
             texts = batch.column("text")
-            w = Words(texts, LETTERS)
+            w = letter_words(texts)
             n = batch.num_rows
             scores, known = model.emissions(w) if len(w.hash) else (np.zeros((0, k), np.float32), np.zeros(0, bool))
             path = viterbi(scores, w.first, penalty)

@@ -52,3 +52,13 @@ def test_mixed_text_gets_spans(spark, sf):
     part = {k: " ".join(docs.where((F.col("lang") == k) & (F.col("n_chars") > 400)).orderBy("doc_id").first()["text"].split()[:40]) for k in ("en", "de")}
     got = predict(spark.createDataFrame([(1, part["en"] + " " + part["de"])], "doc_id long, text string"), model).first()
     assert got["span_lang"] == ["en", "de"] and abs(got["span_words"][0] - 40) < 6
+
+
+def test_quoted_words_count_as_bare_ones(spark, sf):
+    model = fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    bare = "the house and the people were there with them when they had the time"
+    quoted = [" ".join(f"{a}{w}{b}" for w in bare.split()) for a, b in (("“", "”"), ("«", "»"), ("‘", "’"), ("¿¡", "…"), ("—“", "”—"))]
+    rows = [(i, t) for i, t in enumerate([bare, *quoted, "“ ” « — …"])]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[0][0] == "en" and {got[i] for i in range(1, 6)} == {got[0]}
+    assert got[6] == ("und", 0.0)
