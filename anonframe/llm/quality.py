@@ -168,9 +168,13 @@ def _logistic(buckets: np.ndarray, parts: np.ndarray, sizes: np.ndarray, y: np.n
     return w, b
 
 
-def fit(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES) -> Model:
-    """The labellers' accuracies from all documents, the scorer from a hashed sample of about fit_docs documents and at most about fit_bytes of text."""
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def fit(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES, id_col: str = "doc_id") -> Model:
+    """The labellers' accuracies from all documents, the scorer from at most fit_docs of them, of about fit_bytes of text at most.
+
+    The sample is drawn by a hash of the id, so copies of a text count as often
+    as any other documents; rows that tie on the last hash stay out together.
+    """
+    texts = docs.select(F.xxhash64(F.col(id_col), F.lit(17)).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def count(batches):
         for batch in slices(batches, "text"):
@@ -179,7 +183,7 @@ def fit(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS, fit_b
             size = np.bincount(at, np.diff(w.bounds), minlength=len(u))
             yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(size.astype(np.int64))], names=["p", "n", "size"])
 
-    rows = sorted((r["p"], r["n"], r["size"]) for r in texts.mapInArrow(count, "p long, n long, size long").groupBy("p").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect())  # 3**labellers rows at most
+    rows = sorted((r["p"], r["n"], r["size"]) for r in texts.select("text").mapInArrow(count, "p long, n long, size long").groupBy("p").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect())  # 3**labellers rows at most
     known, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
     posterior, table, share = expectation_maximisation(known, counts, len(LABELLERS))
     part = min(1.0, fit_docs / max(counts.sum(), 1), fit_bytes / max(sum(r[2] for r in rows), 1))
@@ -191,8 +195,10 @@ def fit(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS, fit_b
             buckets, parts, sizes = _distinct(*hashed(w, m))
             yield pa.RecordBatch.from_arrays([pa.array(pattern(votes(m)).astype(np.int64)), lists(buckets, sizes, pa.int32()), lists(parts.astype(np.float32), sizes, pa.float32())], names=["p", "x", "part"])
 
-    drawn = texts.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) < F.lit(int(part * (1 << 20))))
-    got = drawn.mapInArrow(features, "p long, x array<int>, part array<float>").toArrow() if len(rows) else pa.table({"p": pa.array([], pa.int64()), "x": pa.array([], pa.list_(pa.int32())), "part": pa.array([], pa.list_(pa.float32()))})
+    drawn = texts.where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(part * (1 << 20))))
+    last = drawn.select("h").orderBy("h").limit(fit_docs + 1).agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
+    drawn = drawn.where(F.col("h") < last["h"]) if last["n"] > fit_docs else drawn  # the chance draw may bring more; so many it is
+    got = drawn.select("text").mapInArrow(features, "p long, x array<int>, part array<float>").toArrow() if len(rows) else pa.table({"p": pa.array([], pa.int64()), "x": pa.array([], pa.list_(pa.int32())), "part": pa.array([], pa.list_(pa.float32()))})
 
     def whole(name):
         c = got.column(name).combine_chunks()
@@ -209,10 +215,11 @@ def fit(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS, fit_b
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS, model: Model | None = None) -> DataFrame:
     """doc_id, score (0 to 1, higher: better text), predicted (1 if score >= 0.5) and weak_label (the labellers' posterior).
 
-    Null texts count as empty, which the labellers call bad; repeated rows are
-    scored each; an empty table gives no rows; other columns are ignored.
+    Null texts count as empty, which the labellers call bad; very long texts are
+    scored whole; null ids and repeated rows are scored each; a score of exactly
+    0.5 is predicted 1; an empty table gives no rows; other columns are ignored.
     """
-    model = model or fit(docs, text_col, fit_docs)
+    model = model or fit(docs, text_col, fit_docs, id_col=id_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches):

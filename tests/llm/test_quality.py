@@ -53,3 +53,44 @@ def test_bounds_of_the_fit():
     from anonframe.llm import quality
 
     assert quality.FIT_DOCS >= 8192 and inspect.signature(quality._logistic).parameters["rounds"].default >= 150
+
+
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    """However many rows share an id or a text, the fit takes fit_docs rows at most, and other texts are among them."""
+    from anonframe.llm import quality
+
+    sizes = []
+    plain = quality._logistic
+    monkeypatch.setattr(quality, "_logistic", lambda x, parts, n, y, *a: (sizes.append(len(n)), plain(x, parts, n, y, *a))[1])
+    same = spark.range(3000).selectExpr("id AS doc_id", "'all the same words' AS text")
+    other = spark.range(3000).selectExpr("id + 5000 AS doc_id", "concat('words number ', id, ' and more of them.') AS text")
+    one_id = spark.range(2000).selectExpr("CAST(7 AS BIGINT) AS doc_id", "'a row again' AS text")
+    quality.fit(same.unionByName(other).unionByName(one_id), fit_docs=200)
+    quality.fit(one_id, fit_docs=50)
+    assert 100 <= sizes[0] <= 200 and len(sizes) == 1  # 2000 ties don't fit in 50
+
+
+def test_em_against_plain_loops():
+    import math
+
+    rng = np.random.RandomState(6)
+    patterns = np.unique(rng.randint(0, 3**3, 12))
+    counts = rng.randint(1, 50, len(patterns)).astype(float)
+    p, table, share = expectation_maximisation(patterns, counts, 3)
+    # One more round of plain expectation and maximisation must change nothing.
+    votes = [[int(x) // 3**k % 3 for k in range(3)] for x in patterns]
+    good = sum(a * b for a, b in zip(p, counts, strict=True))
+    assert abs(share - (good + 1) / (counts.sum() + 2)) < 1e-5
+    for i, v in enumerate(votes):
+        score = math.log(share / (1 - share))
+        for k in range(3):
+            rate = []
+            for y in (0, 1):
+                n = [2.0, 1.0] if y == 0 else [1.0, 2.0]
+                for q, w, c in zip(p, votes, counts, strict=True):
+                    if w[k] < 2:
+                        n[w[k]] += (q if y else 1 - q) * c
+                rate.append([n[0] / sum(n), n[1] / sum(n), 1.0][v[k]])
+            score += math.log(rate[1] / rate[0])
+        assert abs(1 / (1 + math.exp(-score)) - p[i]) < 1e-4
+    assert table.shape == (3, 2, 3)
