@@ -30,6 +30,8 @@ EDITS = ((10, 2), (5, 1), (0, 0))
 #: Words on each side of a hit that are its context.
 CONTEXT = 6
 CACHE_WORDS = 400_000
+#: States of the determinised automaton that are kept; beyond them it is determinised anew.
+MAX_STATES = 100_000
 #: Words that introduce somebody else's speech.
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quotes quoting reported reports claimed told citation cited dijo dice escribió citó dit écrit cité sagte schrieb zitiert".split())
 QUOTES = "\"“”„«»‘’"
@@ -63,6 +65,9 @@ class Lexicon:
                     at = nxt
                     self.budget[at] = max(self.budget[at], k)
                 ends[at] = word
+        self._forget()
+
+    def _forget(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
@@ -105,6 +110,8 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[str, str] | None:
         """('exact' | 'stem' | 'weak' | 'fuzzy', term) of a folded word; weak is a stem that clean texts have too."""
+        if len(self.sets) > MAX_STATES:
+            self._forget()
         at, stem, node = self.begin, None, 0
         for ch in word:
             if node is not None:
@@ -163,9 +170,10 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
-    """(id, text, y) of at most ``fit_rows`` labelled rows, drawn by a hash of the id."""
+    """(id, text, y) of at most ``fit_rows`` labelled ids, drawn by a hash of the id; of an id with several texts the first in order."""
     drawn = labels.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(fit_rows)
-    return docs.join(F.broadcast(drawn), "id").where("text IS NOT NULL").select("id", "text", "y")  # fit_rows rows of 12 bytes
+    rows = docs.join(F.broadcast(drawn), "id").where("text IS NOT NULL")  # fit_rows rows of 12 bytes
+    return rows.groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
 def _marks(sample: DataFrame):
@@ -187,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     empty = Model(Lexicon([], []), np.zeros(len(FEATURES)), prior)
     if not n1 or not n0:
         return empty
-    marks = [(r["mark"], r["n1"], r["n0"], frozenset(r["ids"])) for r in _marks(sample).orderBy(F.desc("n1"), "n0", "mark").limit(8000).collect()]
+    marks = [(r["mark"], r["n1"], r["n0"], frozenset(r["ids"])) for r in _marks(sample).orderBy(F.desc("n1"), "n0", "mark").collect()]  # of fit_rows texts
     terms, stems, weak = _choose(marks, base)
     lexicon = Lexicon(terms, stems, weak=weak)
 
@@ -292,7 +300,10 @@ def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Returns doc_id, held_out, score, predicted and hits.  Without usable labels
     the score is the prior of one half.  Null labels and null ids are not
-    learned from; a null id is not held out.
+    learned from; a null id is not held out.  Null and empty texts score as texts
+    without hits, very long ones are scored whole; rows that repeat an id are
+    scored each, and learned from once; of an id with several labels 1 counts; a
+    score of exactly 0.5 is predicted 1; an empty table gives no rows.
     """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold != held)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))

@@ -50,3 +50,29 @@ def test_awkward_rows(spark, sf):
     assert detect(docs.limit(0), labels).count() == 0
     none = detect(docs, labels.limit(0)).collect()
     assert all(0 <= r["score"] <= 1 for r in none)
+
+
+def test_quotation_is_told_from_abuse(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 9)))
+    plain = lambda: " ".join(word() for _ in range(25))
+    rows = [(i, plain(), 0) for i in range(400)]
+    rows += [(i, f"{plain()} you zorkhead {plain()}", 1) for i in range(400, 480)]
+    rows += [(i, f'{plain()} he wrote "zorkhead" there {plain()}', 0) for i in range(480, 494)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    new = [(1001, f"{plain()} you zorkhead {plain()}"), (1002, f"{plain()} you zorkhaed {plain()}"), (1003, f'{plain()} she said "zorkhead" then {plain()}'), (1004, plain())]
+    out = detect(docs.unionByName(spark.createDataFrame(new, docs.schema)), labels)
+    found = {r["doc_id"]: r for r in out.where("doc_id > 1000").collect()}
+    assert [found[i]["predicted"] for i in (1001, 1002, 1003, 1004)] == [1, 1, 0, 0]
+    assert [h["quoted"] for h in found[1003]["hits"]] == [True] and ("fuzzy", "zorkhead") in {(h["kind"], h["term"]) for h in found[1002]["hits"]}
+
+
+def test_repeated_ids_and_few_states(spark, sf, monkeypatch):
+    from anonframe.llm import toxicity
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    once = {r["doc_id"]: r["score"] for r in detect(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "MAX_STATES", 3)
+    again = detect(docs.unionByName(docs).unionByName(docs.limit(5)), labels).collect()
+    assert len(again) == 2 * len(once) + 5 and all(abs(once[r["doc_id"]] - r["score"]) < 1e-9 for r in again)
