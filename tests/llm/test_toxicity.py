@@ -61,7 +61,7 @@ def test_quotation_is_told_from_abuse(spark):
     rows += [(i, f'{plain()} he wrote "zorkhead" there {plain()}', 0) for i in range(480, 494)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-    new = [(1001, f"{plain()} you zorkhead {plain()}"), (1002, f"{plain()} you zorkhaed {plain()}"), (1003, f'{plain()} she said "zorkhead" then {plain()}'), (1004, plain())]
+    new = [(1001, f"{plain()} you zorkhead {plain()}"), (1002, f"{plain()} you zorkhed {plain()}"), (1003, f'{plain()} she said "zorkhead" then {plain()}'), (1004, plain())]
     out = detect(docs.unionByName(spark.createDataFrame(new, docs.schema)), labels)
     found = {r["doc_id"]: r for r in out.where("doc_id > 1000").collect()}
     assert [found[i]["predicted"] for i in (1001, 1002, 1003, 1004)] == [1, 1, 0, 0]
