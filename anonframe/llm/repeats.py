@@ -1,15 +1,15 @@
-"""Substring dedup: truncated suffix trees in prefix partitions.
-
-A suffix is the words from one position on, told apart to a depth of
-``window`` words as two symbols: a hash of its first PREFIX words and one of
-the rest of the window (128 bits together).  Range partitions of the sorted
-suffixes are the trees: a boundary falls between two first symbols, or inside
-one that is too frequent, where it is longer by the second symbol, so prefixes
-vary in length and groups fit in memory.  Walking a partition's sorted suffixes
-with their common depth finds the deep internal nodes; every leaf below one but
-the earliest starts a repeat.
-
-Most suffixes can't repeat.  A window's smallest PREFIX-gram hash is the same
+"""Substring dedup: suffix trees in prefix partitions.
+
+A suffix is the words from one position on; trees are cut off at the depth of a
+window, since no deeper node tells more about which windows repeat.  Suffixes
+are grouped by their first words.  Groups of a prefix that are too many for a
+task's memory get the next longer prefix, so prefixes vary in length and each
+group's tree is built in memory: its suffixes sorted word by word, with the
+common depth of neighbours.  Every leaf below a node as deep as the window, but
+the earliest, starts a repeat; consecutive ones are a maximal repeat, whose span
+is what is removed.
+
+Most suffixes can't repeat.  A window's smallest GRAM-gram hash is the same
 wherever the window occurs, so a window whose minimum occurs once is dropped
 before any suffix is shuffled, and repeats within a slice of texts are settled
 there: only the first of equal windows in a slice leaves it.
@@ -26,7 +26,11 @@ from .common import materialize, release, shuffle_partitions
 from .words import PLACE_VALUES, PLAIN, U64, Words, lists, mix, signed, slices
 
 WINDOW = 20
-PREFIX = 8
+GRAM = 8
+#: Lengths of the prefixes that group suffixes, shortest first; the last resort is the window itself.
+PREFIXES = (2, 4, 8)
+#: Suffixes of one tree at most (about 200 bytes each), and of several trees that are built at once.
+TREE_ROWS, CHUNK_ROWS = 1 << 18, 1 << 15
 
 
 def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -44,18 +48,18 @@ def _minima(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(w.hash) - window + 1
     if n <= 0:
         return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool)
-    h, _ = w.grams(PREFIX)
-    return h, _slide(h, window - PREFIX + 1, np.minimum), w.doc[:n] == w.doc[window - 1 :]
+    h, _ = w.grams(GRAM)
+    return h, _slide(h, window - GRAM + 1, np.minimum), w.doc[:n] == w.doc[window - 1 :]
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(kind 0: id, anchors that the slice has several times, anchors that it has once), (kind 1: the former, once a slice)."""
+    """(kind 0: key, anchors that the slice has several times, anchors that it has once), (kind 1: the former, once a slice)."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             w = Words(batch.column("text"), PLAIN)
             h, low, ok = _minima(w, window)
-            width = window - PREFIX + 1
+            width = window - GRAM + 1
             # A gram is an anchor if it is the minimum of some window over it.
             pad = np.zeros(width - 1, U64)
             best = _slide(np.concatenate([pad, np.where(ok, low, U64(0)), pad]), width, np.maximum)[: len(h)] if len(h) else h
@@ -68,66 +72,115 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
             often = u[n > 1]
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * k + [1], pa.int32()), pa.concat_arrays([batch.column("id"), pa.nulls(1, pa.int64())]), *cols, lists(signed(often), np.array([0] * k + [len(often)]), pa.int64())],
-                names=["kind", "id", "several", "once", "here"],
+                [pa.array([0] * k + [1], pa.int32()), pa.concat_arrays([batch.column("key"), pa.nulls(1, pa.int64())]), *cols, lists(signed(often), np.array([0] * k + [len(often)]), pa.int64())],
+                names=["kind", "key", "several", "once", "here"],
             )
 
-    return docs.mapInArrow(run, "kind int, id long, several array<long>, once array<long>, here array<long>")
+    return docs.mapInArrow(run, "kind int, key long, several array<long>, once array<long>, here array<long>")
 
 
 def _suffixes(docs: DataFrame, window: int) -> DataFrame:
-    """(id, starts of windows that an earlier one of the slice equals, then p, q, start of the others that may repeat)."""
+    """(id, key, start, words, p<n>...): the windows that may repeat, with hashes of their prefixes; words is null where an earlier window of the slice is equal."""
+    levels = [n for n in PREFIXES if n < window]
 
     def run(batches):
         for batch in slices(batches, "text"):
             w = Words(batch.column("text"), PLAIN)
             h, low, ok = _minima(w, window)
-            anchors = batch.column("anchors")
-            known = np.unique(anchors.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
+            # Rows that repeat an id and its text are one document.
+            _, rank, place = np.unique(np.stack([ids, keys]), axis=1, return_index=True, return_inverse=True)
+            once = np.zeros(len(ids), bool)
+            once[rank] = True
+            known = np.unique(batch.column("anchors").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
             if len(low) and len(known):
                 k = np.minimum(np.searchsorted(known, low), len(known) - 1)
-                s = np.flatnonzero(ok & (known[k] == low))
+                s = np.flatnonzero(ok & (known[k] == low) & once[w.doc[: len(low)]])
             else:
                 s = np.zeros(0, np.int64)
-            p = h[s]
-            q = np.zeros(len(s), U64)
-            for j in range(PREFIX, window):
-                q += w.hash[s + j] * PLACE_VALUES[j]
-            q = mix(q)
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            rank = np.unique(ids, return_inverse=True)[1]
             doc = w.doc[s] if len(s) else s
-            order = np.lexsort((s, rank[doc], q, p)) if len(s) else s
-            first = np.ones(len(s), bool)
-            first[1:] = (p[order][1:] != p[order][:-1]) | (q[order][1:] != q[order][:-1])
-            lead = np.zeros(len(s), bool)
-            lead[order] = first
+            p, q = h[s], np.zeros(len(s), U64)
+            for j in range(GRAM, window):
+                q += w.hash[s + j] * PLACE_VALUES[j]
+            # place numbers the documents by id, then key.
+            order = np.lexsort((s, place.ravel()[doc], q, p)) if len(s) else s
+            lead = np.ones(len(s), bool)
+            lead[order[1:]] = (p[order][1:] != p[order][:-1]) | (q[order][1:] != q[order][:-1])
             start = (s - w.first[doc]).astype(np.int32) if len(s) else s.astype(np.int32)
-            n = lambda x: np.bincount(doc[x], minlength=batch.num_rows) if len(s) else np.zeros(batch.num_rows, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), lists(start[~lead], n(~lead), pa.int32()), *(lists(x[lead], n(lead), t) for x, t in ((signed(p), pa.int64()), (signed(q), pa.int64()), (start, pa.int32())))],
-                names=["id", "local", "p", "q", "start"],
-            )
-
-    return docs.mapInArrow(run, "id long, local array<int>, p array<long>, q array<long>, start array<int>")
-
-
-def _deep_leaves(suffixes: DataFrame, n: int) -> DataFrame:
-    """(id, start) of every leaf but the earliest below each node of full depth, partition by partition."""
+            raw = w.hash[s[lead][:, None] + np.arange(window)] if len(s) else np.zeros((0, window), U64)
+            words = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * window), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary())
+            cols = []
+            for n in levels:
+                x = np.zeros(len(raw), U64)
+                for j in range(n):
+                    x += raw[:, j] * PLACE_VALUES[j]
+                cols.append(pa.array(signed(mix(x))))
+            names = ["id", "key", "start", "words", *(f"p{n}" for n in levels)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[lead]], pa.int64()), pa.array(keys[doc[lead]], pa.int64()), pa.array(start[lead]), words, *cols], names=names)
+            far, m = ~lead, int((~lead).sum())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[far]], pa.int64()), pa.array(keys[doc[far]], pa.int64()), pa.array(start[far]), pa.nulls(m, pa.binary()), *(pa.nulls(m, pa.int64()) for _ in levels)], names=names)
+
+    return docs.mapInArrow(run, "id long, key long, start int, words binary" + "".join(f", p{n} long" for n in levels))
+
+
+def _grouped(suffixes: DataFrame, window: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """The suffixes with ``tree``, the shortest prefix that few enough share; and those whose whole window too many share; and the tables that both read."""
+    left, out, tables = suffixes, None, []
+    for n in (n for n in PREFIXES if n < window):
+        sizes = left.groupBy(f"p{n}").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > TREE_ROWS).select(f"p{n}")
+        sizes = materialize(sizes, "prefixes")  # one row for TREE_ROWS suffixes at most
+        tables.append(sizes)
+        last = sizes.isEmpty()
+        small = left if last else left.join(sizes, f"p{n}", "left_anti")
+        small = small.select("id", "key", "start", "words", F.struct(F.lit(n).alias("n"), F.col(f"p{n}").alias("p")).alias("tree"))
+        out = small if out is None else out.unionByName(small)
+        if last:
+            return out, None, tables
+        left = left.join(sizes, f"p{n}", "left_semi")
+    whole = left.select("id", "key", "start", "words")
+    return out, whole, tables
+
+
+def _deep_leaves(suffixes: DataFrame, window: int, n: int) -> DataFrame:
+    """(id, key, start) of every leaf but the earliest below each node of full depth, tree by tree."""
+    chunk = CHUNK_ROWS
+
+    def leaves(t: pa.Table) -> pa.RecordBatch:
+        words = t.column("words").combine_chunks()
+        words = words if isinstance(words, pa.Array) else pa.concat_arrays(words.chunks)
+        w = np.frombuffer(words.cast(pa.binary(8 * window)).buffers()[1], U64)[words.offset * window :].reshape(-1, window)[: len(words)]
+        ids, keys, start = (t.column(c).to_numpy() for c in ("id", "key", "start"))
+        # The trees' suffix arrays: equal words sort by document and place.
+        order = np.lexsort((start, keys, ids, *(w[:, j] for j in range(window - 1, -1, -1))))
+        w, ids, keys, start = w[order], ids[order], keys[order], start[order]
+        same = w[1:] == w[:-1]
+        depth = np.where(same.all(axis=1), window, same.argmin(axis=1))  # the common depth with the leaf before
+        node = np.r_[True, depth < window]
+        leaf = np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (start[1:] != start[:-1])]
+        rank = np.cumsum(leaf)
+        first = np.maximum.accumulate(np.where(node, np.arange(len(w)), 0))
+        far = rank > rank[first]
+        return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(keys[far]), pa.array(start[far])], names=["id", "key", "start"])
 
     def run(batches):
-        last = None
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            p, q = (b.column(c).to_numpy(zero_copy_only=False) for c in ("p", "q"))
-            same = np.zeros(len(p), bool)  # the common depth with the leaf before is the window
-            same[1:] = (p[1:] == p[:-1]) & (q[1:] == q[:-1])
-            same[0] = last == (p[0], q[0])
-            last = (p[-1], q[-1])
-            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(same)), b.column("start").filter(pa.array(same))], names=["id", "start"])
-
-    return suffixes.repartitionByRange(n, "p", "q").sortWithinPartitions("p", "q", "id", "start").mapInArrow(run, "id long, start int")
+            held.append(b)
+            rows += b.num_rows
+            if rows >= chunk:
+                t = pa.Table.from_batches(held)
+                tree = t.column("tree").combine_chunks()
+                x, y = (tree.field(f).to_numpy(zero_copy_only=False) for f in ("n", "p"))
+                new = np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+                if len(new):  # the last tree may go on
+                    yield leaves(t.slice(0, int(new[-1]) + 1))
+                    t = t.slice(int(new[-1]) + 1)
+                held, rows = t.combine_chunks().to_batches(), len(t)
+        if rows:
+            yield leaves(pa.Table.from_batches(held))
+
+    return suffixes.repartition(n, "tree").sortWithinPartitions("tree").mapInArrow(run, "id long, key long, start int")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,28 +189,35 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     Earlier means a smaller id, or an earlier start in the same document.
     Returns doc_id, n_words, n_removed, span_start and span_end (word numbers
     of the removed spans, end exclusive) and kept_text (kept words joined by one
-    space).  Words are split at ASCII white space and not folded.  Null and
-    empty texts have no words; rows of null id are kept whole and remove
-    nothing; rows that repeat an id are one document and are reported each; an
-    empty table gives no rows; other columns are ignored.
+    space).  Words are split at ASCII white space, not folded, and compared by
+    64-bit hashes.  Null and empty texts have no words; very long texts are read
+    whole; rows of null id are kept whole and remove nothing; rows that repeat an
+    id and its text are one document and are reported each; texts that share an
+    id are documents of their own, in order of a hash; an empty table gives no
+    rows; other columns are ignored.
     """
     n = shuffle_partitions(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"), text.alias("text"))
     known = texts.where("id IS NOT NULL")
     anchors = materialize(_anchors(known, window), "anchors")
-    once = anchors.where("kind = 0").select("id", F.explode("once").alias("h"))
+    once = anchors.where("kind = 0").select("key", F.explode("once").alias("h"))
     here = anchors.where("kind = 1").select(F.explode("here").alias("h"))
     often = once.select("h").unionByName(here).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    several = anchors.where("kind = 0").select("id", F.explode("several").alias("h"))
-    hits = once.join(often.select("h"), "h").select("id", "h").unionByName(several)
-    hits = materialize(hits.groupBy("id").agg(F.collect_set("h").alias("anchors")), "hits")
+    several = anchors.where("kind = 0").select("key", F.explode("several").alias("h"))
+    hits = once.join(often.select("h"), "h").select("key", "h").unionByName(several)
+    hits = materialize(hits.groupBy("key").agg(F.collect_set("h").alias("anchors")), "hits")
     release(anchors)
-    marked = materialize(_suffixes(known.join(hits, "id"), window), "suffixes")
+    marked = materialize(_suffixes(known.join(hits, "key"), window), "suffixes")
     release(hits)
-    rows = marked.where(F.size("start") > 0).select("id", F.explode(F.arrays_zip("p", "q", "start")).alias("x")).select("id", "x.p", "x.q", "x.start")
-    found = _deep_leaves(rows, n).unionByName(marked.where(F.size("local") > 0).select("id", F.explode("local").alias("start")))
-    starts = materialize(found.groupBy("id").agg(F.collect_set("start").alias("starts")), "starts")
-    release(marked)
+    trees, whole, tables = _grouped(marked.where("words IS NOT NULL"), window)
+    found = _deep_leaves(trees, window, n).unionByName(marked.where("words IS NULL").select("id", "key", "start"))
+    if whole is not None:  # one node that is too large for a task: its leaves, without the earliest
+        leaf = F.struct("id", "key", "start")
+        first = whole.groupBy("words").agg(F.min(leaf).alias("first"))
+        found = found.unionByName(whole.join(first, "words").where(leaf != F.col("first")).select("id", "key", "start"))
+    starts = materialize(found.groupBy("id", "key").agg(F.collect_set("start").alias("starts")), "starts")
+    release(marked, *tables)
 
     def cut(batches):
         for batch in slices(batches, "text"):
@@ -183,7 +243,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_words", "n_removed", "span_start", "span_end", "kept_text"])
 
-    return texts.join(starts, "id", "left").mapInArrow(cut, "doc_id long, n_words long, n_removed long, span_start array<int>, span_end array<int>, kept_text string")
+    return texts.join(starts, ["id", "key"], "left").mapInArrow(cut, "doc_id long, n_words long, n_removed long, span_start array<int>, span_end array<int>, kept_text string")
 
 
 def report(removed: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from anonframe.llm import repeats
 from anonframe.llm.repeats import remove_repeats, report
 
 from .fixtures import SPACE, documents, rows
@@ -52,3 +53,32 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     t = " ".join(f"w{i}" for i in range(30))
     out = remove_repeats(spark.createDataFrame([(None, t), (1, t), (2, t), (2, t)], "doc_id long, text string"))
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in out.collect()) == [("1", 0), ("2", 30), ("2", 30), ("None", 0)]
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(30)) for c in "tu")
+    out = remove_repeats(spark.createDataFrame([(1, t), (2, t), (2, u)], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["n_removed"]) for r in out.collect()) == [(1, 0), (2, 0), (2, 30)]
+
+
+def test_prefixes_grow_until_trees_are_small(spark, monkeypatch):
+    """Trees of a few suffixes: longer prefixes, and a window that has more copies than a tree may have."""
+    rng = random.Random(9)
+    hot = " ".join(f"hot{i}" for i in range(22))
+    begin = " ".join(f"same{i}" for i in range(6))
+    docs = [(i, f"x{i} {hot} y{i}") for i in range(40)]
+    docs += [(100 + i, f"{begin} " + " ".join(rng.choice("ab") for _ in range(14)) + f" z{i}") for i in range(60)]
+    docs += [(200 + i, docs[40 + 2 * i][1]) for i in range(20)]
+    monkeypatch.setattr(repeats, "TREE_ROWS", 4)
+    monkeypatch.setattr(repeats, "CHUNK_ROWS", 3)
+    grouped, seen = repeats._grouped, []
+
+    def spy(*a):
+        out = grouped(*a)
+        seen.append(({r["n"] for r in out[0].select("tree.n").distinct().collect()}, out[1].count()))
+        return out
+
+    monkeypatch.setattr(repeats, "_grouped", spy)
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(40)
+    check(docs)
+    assert len(seen[0][0]) > 1 and seen[0][1] > 4
