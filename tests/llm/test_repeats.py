@@ -61,24 +61,24 @@ def test_texts_that_share_an_id_are_documents_of_their_own(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in out.collect()) == [(1, 0), (2, 0), (2, 30)]
 
 
-def test_prefixes_grow_until_trees_are_small(spark, monkeypatch):
-    """Trees of a few suffixes: longer prefixes, and a window that has more copies than a tree may have."""
+def test_groups_that_no_task_can_hold(spark, monkeypatch):
+    """Groups of a few suffixes at most: the window becomes the prefix of the others; and groups that go on from chunk to chunk."""
     rng = random.Random(9)
     hot = " ".join(f"hot{i}" for i in range(22))
-    begin = " ".join(f"same{i}" for i in range(6))
     docs = [(i, f"x{i} {hot} y{i}") for i in range(40)]
-    docs += [(100 + i, f"{begin} " + " ".join(rng.choice("ab") for _ in range(14)) + f" z{i}") for i in range(60)]
+    docs += [(100 + i, " ".join(rng.choice("ab") for _ in range(34)) + f" z{i}") for i in range(60)]
     docs += [(200 + i, docs[40 + 2 * i][1]) for i in range(20)]
-    monkeypatch.setattr(repeats, "TREE_ROWS", 4)
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(40)
     monkeypatch.setattr(repeats, "CHUNK_ROWS", 3)
-    grouped, seen = repeats._grouped, []
+    check(docs)
+    monkeypatch.setattr(repeats, "TREE_ROWS", 4)
+    seen = []
+    plain = repeats._hot_leaves
+    monkeypatch.setattr(repeats, "_hot_leaves", lambda s, w: (seen.append(s.count()), plain(s, w))[1])
+    check(docs)
+    assert seen[0] > 4
 
-    def spy(*a):
-        out = grouped(*a)
-        seen.append(({r["n"] for r in out[0].select("tree.n").distinct().collect()}, out[1].count()))
-        return out
 
-    monkeypatch.setattr(repeats, "_grouped", spy)
-    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(40)
-    check(docs)
-    assert len(seen[0][0]) > 1 and seen[0][1] > 4
+def test_copies_go_whole(spark):
+    t, short = " ".join(f"w{i}" for i in range(25)), "a few words"
+    check(spark.createDataFrame([(5, t), (3, t), (9, t), (1, short), (2, short), (4, t + " and more"), (6, None), (7, "")], "doc_id long, text string").repartition(3))
