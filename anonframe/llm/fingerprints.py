@@ -23,7 +23,7 @@ UNSPACED = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in UNSPACED_RANGES)
 #: One range takes nearly all text; the rest of Unicode comes after.
 COMMON = "!-\\x{DFF}"
 TOKEN = f"[{COMMON}]{{1,24}}+|[{UNSPACED}]|[^\\s{COMMON}{UNSPACED}]{{1,24}}+"
-#: Documents whose order is settled together; see ``with_next``.
+#: Documents whose order is settled together, see ``with_next``, and buckets at most; on more documents than their product buckets grow, and sort on disk.
 BUCKET_DOCS = 2000
 MAX_BUCKETS = 1 << 15
 
@@ -139,7 +139,9 @@ def fingerprint_documents(docs: DataFrame, k: int = K, window: int = WINDOW, id_
     edited_fingerprint (packed entries), near_edited, near_next
     and entries.  Null texts are empty; a null id comes before all others; rows
     of one id follow each other by a hash of their text; a lone row is its own
-    next; an empty table gives no rows; other columns are ignored.
+    next; an empty table gives no rows; other columns are ignored.  Of equal
+    hashes in a window the rightmost counts.  Very long texts are read whole;
+    positions in ``entries`` are modulo 2^24 tokens, their hashes are not.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__key"))
