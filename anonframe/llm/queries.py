@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +84,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
