@@ -1,10 +1,61 @@
 import hashlib
 
-from anonframe.llm.fingerprints import entries, fingerprint, fingerprint_documents, with_next
+import regex
+import xxhash
+from anonframe.llm.fingerprints import TOKEN, entries, fingerprint, fingerprint_documents, with_next
 from pyspark.sql import functions as F
 
 from .fixtures import documents, rows
 
+M64 = (1 << 64) - 1
+TOKENS = regex.compile(regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), TOKEN).replace(r"\s", r" \t\n\x0b\f\r"))
+
+
+def hash_of(data, seed=42):
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def plain(text, k=3, window=8):
+    """{(40-bit hash, position)} of the entries that winnowing keeps, a gram and a window at a time."""
+    tokens = [hash_of(t.encode()) for t in TOKENS.findall(text)]
+    grams = []
+    for a in range(len(tokens) - k + 1):
+        g = tokens[a]
+        for t in tokens[a + 1 : a + k]:
+            g = ((g << 1 | g >> 63) & M64) ^ t
+        grams.append(g)
+    if tokens and not grams:
+        seed = 42
+        for t in tokens:
+            seed = hash_of(t.to_bytes(8, "little"), seed)
+        grams = [seed]
+    scrambled = [hash_of(g.to_bytes(8, "little")) & ((1 << 40) - 1) for g in grams]
+    # Spark compares packed entries as signed numbers: the top bit of the 40 counts as a sign.
+    order = [x - (1 << 40) if x >> 39 else x for x in scrambled]
+    picked = set()
+    for a in range(max(1, len(order) - window + 1) if order else 0):
+        part = order[a : a + window]
+        picked.add(a + max(i for i, h in enumerate(part) if h == min(part)))
+    return {(order[i], i) for i in picked}
+
+
+def alike(a, b):
+    x, y = {h for h, _ in a}, {h for h, _ in b}
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_hashes_and_likeness_against_a_plain_version(spark, sf):
+    docs = documents(spark, sf, 100)
+    texts = {i: t or "" for i, t in rows(docs)}
+    order = sorted(texts)
+    out = {r["doc_id"]: r for r in fingerprint_documents(docs).collect()}
+    for i, nxt in zip(order, [*order[1:], order[0]], strict=True):
+        t, u = texts[i], texts[nxt]
+        own = plain(t)
+        assert {(e["hash"], e["position"]) for e in out[i]["entries"]} == own, i
+        assert abs(out[i]["near_edited"] - alike(own, plain(t[: len(t) - len(t) // 2] + u[: len(t) // 2]))) < 1e-12
+        assert abs(out[i]["near_next"] - alike(own, plain(u))) < 1e-12
+
 
 def test_against_plain_winnowing(spark, sf):
     """Positions follow the rule: the rightmost smallest hash of each window; hashes are those that Spark gives."""
