@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frame import HOST, PrivateFrame
 from .plans.generalize import GenMap, key_counts, range_map
+from .sources import shared_dir
 
 
 class Federation:
@@ -55,13 +58,24 @@ class Federation:
         """Classes over the base tables' columns {table: column}."""
         return range_map({t: self.counts(t, c) for t, c in columns.items()}, self.n_hosts, k, criterion=criterion, parity=parity)
 
-    def generalize(self, frames: dict[str, tuple[PrivateFrame, str]], k: int, counts_from: str = "base", **how) -> tuple[dict[str, PrivateFrame], GenMap]:
+    def gen_maps(self, joins: Iterable[dict[str, str]], k: int, **how) -> list[GenMap]:
+        """The maps of several joins' columns, built by concurrent jobs: none needs another, and each alone leaves most cores idle."""
+        joins = list(joins)
+        shared_dir(self.spark)  # settled before threads ask for it
+        build = inheritable_thread_target(self.spark)(lambda columns: self.gen_map(columns, k, **how))
+        with ThreadPoolExecutor(max(1, len(joins))) as pool:
+            return list(pool.map(build, joins))
+
+    def generalize(self, frames: dict[str, tuple[PrivateFrame, str]], k: int, counts_from: str = "base", classes: GenMap | None = None, **how) -> tuple[dict[str, PrivateFrame], GenMap]:
         """{table: (scan, column)} -> scans with classes, and the map.
 
         Counts come from the base tables, as owners publish them once;
-        ``counts_from='scan'`` takes the filtered scans instead.
+        ``counts_from='scan'`` takes the filtered scans instead, and ``classes``
+        is a map that is there already (of ``gen_maps``, say).
         """
-        if counts_from == "base":
+        if classes is not None:
+            m = classes
+        elif counts_from == "base":
             m = self.gen_map({t: c for t, (_, c) in frames.items()}, k, **how)
         else:
             m = range_map({t: key_counts(f.df, c) for t, (f, c) in frames.items()}, self.n_hosts, k, **how)

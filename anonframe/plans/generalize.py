@@ -205,8 +205,23 @@ def label_chunk(n: int, base: int, phases: list[tuple[int, Chunk | None, tuple]]
     return out
 
 
+def _phases(summaries, order: list[int], n: int, k: int, relations: int, parity: bool) -> tuple[list, tuple[int, int]]:
+    """Walks over all partitions, the first with every relation, ``parity`` ones with those that still close: ([(start, relations, entries)], tail)."""
+    phases: list[tuple[int, list[int], dict]] = []
+    live, start, before, tail = list(range(relations)), 0, 0, (0, 0)
+    while order:
+        entries, first, before, carry = walk(summaries(live, start), k, live, start, before)
+        phases.append((start, live, dict(zip(order, entries, strict=True))))
+        closing = [r for r in live if carry is not None and (carry[r] >= k).all()]
+        tail, start = (first, before), first
+        if not parity or not closing or first >= n:
+            break
+        live = closing
+    return phases, tail
+
+
 def _labels(views: DataFrame, names: list[str], hosts: int, k: int, kind: str, parity: bool) -> DataFrame:
-    """(key, gen) under 'range': one pass for the summaries, one for the labels; parity adds a pass a relation at most."""
+    """(key, gen) under 'range': one pass for the summaries, if there are several partitions, and one for the labels; parity adds a pass a relation at most."""
     n = views.count()
     parts = max(1, -(-n // CHUNK_KEYS))
     if parts > 1:
@@ -229,25 +244,17 @@ def _labels(views: DataFrame, names: list[str], hosts: int, k: int, kind: str, p
         shapes = {"heads": (len(live), hosts, k), "carry": (-1, len(names), hosts), "sum": (len(names), hosts)}
         return [{"n": r["n"], **{f: np.array(r[f], np.int64).reshape(shapes.get(f, -1)) for f in ("heads", "cand", "last", "before", "carry", "sum")}} for r in sorted(got, key=lambda r: r["part"])]
 
-    phases: list[tuple[int, list[int], dict]] = []
-    live, start, before = list(range(len(names))), 0, 0
-    while order:
-        entries, first, before, carry = walk(summaries(live, start), k, live, start, before)
-        phases.append((start, live, dict(zip(order, entries, strict=True))))
-        closing = [r for r in live if carry is not None and (carry[r] >= k).all()]
-        tail, start = (first, before), first
-        if not parity or not closing or first >= n:
-            break
-        live = closing
-
     def label(group: pa.Table) -> pa.Table:
         group = group.sort_by("key")
         part = group.column("part")[0].as_py()
         counts = _arrays(group, names, hosts)
+        phases, tail = walked or _phases(lambda live, start: [Chunk(counts, k, live).summary(start if start < n else None)], order, n, k, len(names), parity)
         done = [(first, Chunk(counts, k, live), at[part]) for first, live, at in phases if first < bases[part] + len(counts)]
         out = label_chunk(len(counts), bases[part], done, tail)
         return pa.table({"key": group.column("key"), "gen": pa.array(out, pa.int64())})
 
+    # The task that has all keys walks by itself.
+    walked = _phases(summaries, order, n, k, len(names), parity) if parts > 1 else None
     return ranged.groupBy("part").applyInArrow(label, f"key {kind}, gen long")
 
 

@@ -432,23 +432,31 @@ def make_oblivious(spark, d):
 
 
 # -- workloads ---------------------------------------------------------------------
-def _mode(fed, frames: dict, mode: str, k: int):
+def _mode(fed, frames: dict, mode: str, k: int, classes=None):
     """Classes for one join's two sides: by value, k-anonymous, or one for all."""
     if mode == "kanon":
-        return list(fed.generalize(frames, k)[0].values())
+        return list(fed.generalize(frames, k, classes=classes)[0].values())
     if mode == "oblivious":
         return [f.make_oblivious(c) for f, c in frames.values()]
     return [f for f, _ in frames.values()]
 
 
+def _order_maps(fed, mode: str, k: int):
+    """The class maps of the joins on customers and on orders, in the k-anonymous mode."""
+    if mode != "kanon":
+        return None, None
+    return fed.gen_maps([{"customer": "c_custkey", "orders": "o_custkey"}, {"orders": "o_orderkey", "lineitem": "l_orderkey"}], k)
+
+
 def tpch_q3(spark, d, mode="plain", k=5):
     fed = federation(spark, d, "customer", "orders", "lineitem")
     c = fed.scan("customer", ["c_custkey"], where="c_mktsegment = 'BUILDING'")
     o = fed.scan("orders", ["o_orderkey", "o_custkey", "o_orderdate"], where="o_orderdate < TIMESTAMP '1995-03-22'")
     li = fed.scan("lineitem", ["l_orderkey", "l_extendedprice", "l_discount"], where="l_shipdate > TIMESTAMP '1995-03-22'")
-    c, o = _mode(fed, {"customer": (c, "c_custkey"), "orders": (o, "o_custkey")}, mode, k)
+    by_customer, by_order = _order_maps(fed, mode, k)
+    c, o = _mode(fed, {"customer": (c, "c_custkey"), "orders": (o, "o_custkey")}, mode, k, by_customer)
     co = c.join(o, "c_custkey", "o_custkey", [("r", "o_orderkey"), ("r", "o_custkey"), ("r", "o_orderdate")]).truncate()
-    co, li = _mode(fed, {"orders": (co, "o_orderkey"), "lineitem": (li, "l_orderkey")}, mode, k)
+    co, li = _mode(fed, {"orders": (co, "o_orderkey"), "lineitem": (li, "l_orderkey")}, mode, k, by_order)
     j = co.join(li, "o_orderkey", "l_orderkey", [("r", "l_orderkey"), ("l", "o_orderdate"), ("l", "o_custkey"), ("r", "l_extendedprice"), ("r", "l_discount")]).truncate()
     out = j.aggregate(["l_orderkey", "o_orderdate"], {"revenue": F.expr(REVENUE)}, kanon_col="o_custkey" if mode == "kanon" else None)
     return out.reveal().select("l_orderkey", "o_orderdate", F.round("revenue", 2).cast("double").alias("revenue"))
@@ -464,9 +472,10 @@ def tpch_q5(spark, d, mode="plain", k=5):
     li = fed.scan("lineitem", ["l_orderkey", "l_suppkey", "l_extendedprice", "l_discount"])
     rn = r.join(n, "r_regionkey", "n_regionkey", [("r", "n_nationkey"), ("r", "n_name")])
     sn = rn.join(s, "n_nationkey", "s_nationkey", [("r", "s_suppkey"), ("l", "n_name")])
-    c, o = _mode(fed, {"customer": (c, "c_custkey"), "orders": (o, "o_custkey")}, mode, k)
+    by_customer, by_order = _order_maps(fed, mode, k)
+    c, o = _mode(fed, {"customer": (c, "c_custkey"), "orders": (o, "o_custkey")}, mode, k, by_customer)
     co = c.join(o, "c_custkey", "o_custkey", [("r", "o_orderkey")]).truncate()
-    co, li = _mode(fed, {"orders": (co, "o_orderkey"), "lineitem": (li, "l_orderkey")}, mode, k)
+    co, li = _mode(fed, {"orders": (co, "o_orderkey"), "lineitem": (li, "l_orderkey")}, mode, k, by_order)
     col = co.join(li, "o_orderkey", "l_orderkey", [("r", "l_suppkey"), ("r", "l_extendedprice"), ("r", "l_discount")]).truncate()
     j = sn.join(col, "s_suppkey", "l_suppkey", [("l", "n_name"), ("r", "l_extendedprice"), ("r", "l_discount")]).truncate()
     return j.aggregate(["n_name"], {"revenue": F.expr(REVENUE)}).reveal().select("n_name", F.round("revenue", 2).cast("double").alias("revenue"))
@@ -478,10 +487,11 @@ def tpch_q10(spark, d, mode="plain", k=5):
     o = fed.scan("orders", ["o_orderkey", "o_custkey"], where="o_orderdate >= TIMESTAMP '1993-07-01' AND o_orderdate < TIMESTAMP '1995-10-01'")
     li = fed.scan("lineitem", ["l_orderkey", "l_extendedprice", "l_discount"], where="l_returnflag = 'R'")
     n = fed.scan("nation", ["n_nationkey", "n_name"])
-    c, o = _mode(fed, {"customer": (c, "c_custkey"), "orders": (o, "o_custkey")}, mode, k)
+    by_customer, by_order = _order_maps(fed, mode, k)
+    c, o = _mode(fed, {"customer": (c, "c_custkey"), "orders": (o, "o_custkey")}, mode, k, by_customer)
     keep = [("l", "c_custkey"), ("l", "c_name"), ("l", "c_acctbal"), ("l", "c_nationkey")]
     co = c.join(o, "c_custkey", "o_custkey", [*keep, ("r", "o_orderkey")]).truncate()
-    co, li = _mode(fed, {"orders": (co, "o_orderkey"), "lineitem": (li, "l_orderkey")}, mode, k)
+    co, li = _mode(fed, {"orders": (co, "o_orderkey"), "lineitem": (li, "l_orderkey")}, mode, k, by_order)
     j = co.join(li, "o_orderkey", "l_orderkey", [*keep, ("r", "l_extendedprice"), ("r", "l_discount")]).truncate()
     j = n.join(j, "n_nationkey", "c_nationkey", [("r", "c_custkey"), ("r", "c_name"), ("r", "c_acctbal"), ("l", "n_name"), ("r", "l_extendedprice"), ("r", "l_discount")]).truncate()
     out = j.aggregate(["c_custkey", "c_name", "c_acctbal", "n_name"], {"revenue": F.expr(REVENUE)}, kanon_col="c_custkey" if mode == "kanon" else None)
