@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sources import materialize
+
 DUMMY, HOST, GEN = "__dummy", "__host", "__gen_"
 
 
@@ -164,6 +166,24 @@ class PrivateFrame:
     def top(self, n: int, *order: Column | str) -> PrivateFrame:
         return PrivateFrame(self.reveal().orderBy(*order).limit(n))
 
+    def at(self, places: Iterable[int], *order: Column | str) -> PrivateFrame:
+        """The rows at ``places`` (from 0) of the order, dummies too, a row for each time that its place is named; places beyond the end give none.
+
+        The sorted rows are numbered by partition, and the sizes of partitions, a row each, make the numbers run on; no task sees all rows.
+        """
+        rows = materialize(self.df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()), "ordered")
+        part, own = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+        sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+        begin, bases = 0, []
+        for r in sizes:
+            bases.append((r["part"], begin))
+            begin += r["n"]
+        spark = self.df.sparkSession
+        bases = spark.createDataFrame(bases, "__part long, __base long")
+        wanted = spark.createDataFrame([(int(i),) for i in places], "__place long")
+        found = rows.join(F.broadcast(bases), part == F.col("__part")).join(wanted, own + F.col("__base") == F.col("__place"))
+        return PrivateFrame(found.select(*self.df.columns))
+
     def sample(self, n: int, seed: int = 0) -> PrivateFrame:
         return PrivateFrame(self.reveal().orderBy(F.rand(seed)).limit(n))
 

@@ -71,6 +71,12 @@ ORACLE_SQL: dict[str, str] = {
     "scan_sql": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND NOT (o_totalprice < 1000 OR o_orderpriority ILIKE '%low')",
     "stats_scan": "SELECT CAST(o_orderkey % 2 AS INT) AS host, o_custkey, count(*) AS n FROM orders GROUP BY ALL",
     "local_branch": "SELECT o_custkey, round(sum(o_totalprice), 2) AS t_sum, count(*) AS t_count FROM orders GROUP BY o_custkey",
+    "local_semijoin": "SELECT c_mktsegment, CAST(sum(CAST(o_totalprice AS DECIMAL(15, 2))) AS DOUBLE) AS t_sum, count(*) AS t_count FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment",
+    "scan_types": " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name AS name, CASE WHEN column_type = 'VARCHAR' THEN 'text' WHEN column_type LIKE '%INT' OR column_type = 'INTEGER' THEN 'integer' WHEN column_type LIKE 'DECIMAL%' OR column_type IN ('FLOAT', 'DOUBLE') THEN 'double' WHEN column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE' THEN 'timestamp' END AS type FROM (DESCRIBE {t})" for t in ("customer", "orders", "lineitem", "nation")),
+    "rows_at": "SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS place FROM orders) JOIN (SELECT unnest([0, 7, 7, 100, 1499, 1099511627776]) AS place) USING (place)",
+    "gen_range_check": """WITH t AS (SELECT 'customer' AS relation, c_custkey AS key, c_custkey % 2 AS host FROM customer UNION ALL SELECT 'orders', o_custkey, o_orderkey % 2 FROM orders),
+        r AS (SELECT * FROM (VALUES (1, 4), (1, 12), (20, 40), (50, 50)) v(low, high) CROSS JOIN (SELECT DISTINCT relation FROM t))
+        SELECT r.relation, low, high, least(count(*) FILTER (host <> 0), count(*) FILTER (host <> 1)) >= 5 AS ok FROM r LEFT JOIN t ON t.relation = r.relation AND key >= low AND key < high GROUP BY r.relation, low, high""",
     "fdw_union": "SELECT o_orderstatus, count(*) AS n FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT * FROM orders WHERE o_orderkey % 2 = 1) GROUP BY o_orderstatus",
     "cohort_ctas": "SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type LIKE 'p%')",
     "cohort_table": "SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type LIKE 'p%')",

@@ -306,6 +306,16 @@ def verify(labels: DataFrame, counts: dict[str, DataFrame], hosts: int, k: int,
     return out
 
 
+def range_reaches(counts: dict[str, DataFrame], hosts: int, k: int, low, high) -> DataFrame:
+    """(relation, ok): do the keys from ``low`` to before ``high``, as one class, show each owner k tuples of the others?  An empty range does only for k = 0."""
+    out = None
+    for name, c in counts.items():
+        others = [F.coalesce(F.sum(F.when(F.col("host") != h, F.col("n"))), F.lit(0)) >= k for h in range(hosts)]
+        row = c.where((F.col("key") >= low) & (F.col("key") < high)).agg(F.forall(F.array(*others), lambda x: x).alias("ok")).select(F.lit(name).alias("relation"), "ok")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def _small(views: DataFrame) -> list:
     rows = views.limit(SMALL_DOMAIN + 1).collect()
     if len(rows) > SMALL_DOMAIN:

@@ -10,7 +10,7 @@ from .federation import Federation
 from .frame import DUMMY, GEN, PrivateFrame
 from .functions import contains, eq, neq
 from .operators import merge_partials
-from .plans.generalize import dense_range_map, greedy_merge_map, range_map
+from .plans.generalize import dense_range_map, greedy_merge_map, range_map, range_reaches
 
 HOSTS = 2
 #: Owner of each table's rows.
@@ -52,6 +52,33 @@ def local_branch(spark, d):
     return out.reveal().select("o_custkey", F.round("t_sum", 2).alias("t_sum"), F.col("t_count"))
 
 
+def local_semijoin(spark, d):
+    """Customers whose orders are all at the customer's own owner are joined and pre-aggregated there, the others k-anonymously; the partial sums are merged."""
+    fed = federation(spark, d, "customer", "orders")
+    mine, theirs = ["c_custkey", "c_mktsegment"], ["o_custkey", "o_totalprice"]
+    held = fed.counts("orders", "o_custkey").groupBy("key").agg(F.min("host").alias("lo"), F.max("host").alias("hi"))
+    local = PrivateFrame(held.where((F.col("lo") == F.col("hi")) & (F.col("lo") == F.pmod("key", F.lit(HOSTS)))).select(F.col("key").alias("c_custkey")))
+
+    def partial(c, o):
+        j = c.join(o, "c_custkey", "o_custkey", [("l", "c_mktsegment"), ("r", "o_totalprice")]).truncate()
+        return j.aggregate(["c_mktsegment"], {"t": F.expr("CAST(o_totalprice AS DECIMAL(15, 2))")}, how="sum_count")
+
+    parts = [partial(fed.scan("customer", mine, hosts=[h]).semi_join(local, "c_custkey", "c_custkey"), fed.scan("orders", theirs, hosts=[h])) for h in range(HOSTS)]
+    private, _ = fed.generalize({"customer": (fed.scan("customer", mine), "c_custkey"), "orders": (fed.scan("orders", theirs), "o_custkey")}, 5)
+    parts.append(partial(private["customer"].anti_join(local, "c_custkey", "c_custkey"), private["orders"]))
+    out = merge_partials(*parts, keys=["c_mktsegment"], sums=["t_sum", "t_count"]).reveal()
+    return out.select("c_mktsegment", F.col("t_sum").cast("double").alias("t_sum"), "t_count")
+
+
+def scan_types(spark, d):
+    """Columns of the tables with the types that owners exchange."""
+    out = None
+    for t in ("customer", "orders", "lineitem", "nation"):
+        one = sources.exchange_types(sources.parquet(spark, d, t)).select(F.lit(t).alias("table_name"), "name", "type")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def fdw_union(spark, d):
     """Owners' schemas as separate slices, united by name."""
     orders = sources.parquet(spark, d, "orders")
@@ -335,6 +362,12 @@ def sample_n(spark, d):
     return federation(spark, d, "customer").scan("customer", ["c_custkey"]).sample(50, seed=3).reveal()
 
 
+def rows_at(spark, d):
+    """Rows by their places in an order; one place twice, one beyond the end."""
+    o = federation(spark, d, "orders").scan("orders", ["o_orderkey", "o_totalprice"])
+    return o.at([0, 7, 7, 100, 1499, 1 << 40], "o_totalprice", "o_orderkey").reveal()
+
+
 def sample_members(spark, d):
     """What is certain of a sample: its size, that it has no row twice, and that all are customers."""
     fed = federation(spark, d, "customer")
@@ -410,6 +443,17 @@ def gen_verify(spark, d):
     return v.groupBy("relation").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.col("ok").cast("int")).alias("ok"))
 
 
+def gen_range_check(spark, d):
+    """Does a whole range of keys reach k as one class?"""
+    fed = federation(spark, d, "customer", "orders")
+    counts = {"customer": fed.counts("customer", "c_custkey"), "orders": fed.counts("orders", "o_custkey")}
+    out = None
+    for low, high in ((1, 4), (1, 12), (20, 40), (50, 50)):
+        one = range_reaches(counts, HOSTS, 5, low, high).select("relation", F.lit(low).alias("low"), F.lit(high).alias("high"), "ok")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def gen_dense_range(spark, d):
     return dense_range_map({"nation": federation(spark, d, "customer").counts("customer", "c_nationkey")}, HOSTS, 20)
 
@@ -547,12 +591,12 @@ def _named(*fs) -> dict:
 
 
 QUERIES: dict = _named(
-    scan_project, scan_one_host, scan_sql, stats_scan, local_branch, fdw_union, cohort_ctas, cohort_table, sql_multi_join, sql_group_by, random_table, random_table_ranges,
+    scan_project, scan_one_host, scan_sql, stats_scan, local_branch, local_semijoin, scan_types, fdw_union, cohort_ctas, cohort_table, sql_multi_join, sql_group_by, random_table, random_table_ranges,
     filter_eq, filter_neq, filter_contains, filter_chain_and, filter_marks_dummies, filter_expression,
     join_inner, join_string_key, join_left_deep, left_deep_kanon5, left_deep_kanon50, join_semi, join_anti, join_generalized_padded, join_generalized_revealed, join_oblivious_count, join_anti_rich, padding_k5, padding_k10, padding_k50, random_join_modes,
     agg_count, agg_count_empty, agg_sum_count_partial, agg_avg_final, agg_secure_two_level, agg_pad_groups, agg_min, agg_merge_partials, distinct,
-    union_all, sort_desc_topk, sort_global, dummy_sort_truncate, truncate_bound, sample_n, sample_members, repartition_hosts,
-    gen_counts, gen_map_k5, gen_map_orders_k7, gen_map_parity, gen_map_complement, gen_map_scan_counts, gen_discard, gen_zip, gen_class_stats, gen_verify, gen_dense_range, gen_greedy_merge, gen_one_host, make_oblivious,
+    union_all, sort_desc_topk, sort_global, dummy_sort_truncate, truncate_bound, sample_n, rows_at, sample_members, repartition_hosts,
+    gen_counts, gen_map_k5, gen_map_orders_k7, gen_map_parity, gen_map_complement, gen_map_scan_counts, gen_discard, gen_zip, gen_class_stats, gen_verify, gen_range_check, gen_dense_range, gen_greedy_merge, gen_one_host, make_oblivious,
     comorbidity, dosage, aspirin_profile, two_party_aggregate, event_counts,
 )
 

@@ -43,6 +43,13 @@ def check_types(df: DataFrame) -> DataFrame:
     return df
 
 
+def exchange_types(df: DataFrame) -> DataFrame:
+    """(name, type) of a table's columns as owners exchange them: text, integer, double (decimals too) or timestamp (dates too); other types raise ValueError."""
+    kinds = ((T.StringType, "text"), (T.IntegralType, "integer"), (T.NumericType, "double"), ((T.TimestampType, T.TimestampNTZType, T.DateType), "timestamp"))
+    rows = [(f.name, next(kind for types, kind in kinds if isinstance(f.dataType, types))) for f in check_types(df).schema]
+    return df.sparkSession.createDataFrame(rows, "name string, type string")
+
+
 def random_table(spark: SparkSession, rows: int, seed: int = 0, **columns: int) -> DataFrame:
     """Uniform integers from 1 to n for each column=n."""
     return spark.range(rows).select(*[(F.floor(F.rand(seed + i) * n) + 1).cast("long").alias(c) for i, (c, n) in enumerate(columns.items())])

@@ -8,7 +8,7 @@ from anonframe.federation import Federation
 from anonframe.frame import DUMMY, GEN, PrivateFrame
 from anonframe.functions import contains, eq, neq
 from anonframe.plans import generalize as g
-from anonframe.sources import check_types
+from anonframe.sources import check_types, exchange_types
 from pyspark.sql import functions as F
 
 
@@ -298,3 +298,36 @@ def test_string_keys(spark):
     assert gm.verify().where("NOT ok").isEmpty()
     t = m["t"]
     assert len(real(t.join(t, "name", "name", [("l", "id", "a"), ("r", "id", "b")]))) == sum((60 // 9 + (x < 60 % 9)) ** 2 for x in range(9))
+
+
+def test_rows_at_places(spark):
+    rows = [(i, None if i % 10 == 0 else i % 7) for i in range(200)]
+    f = PrivateFrame(spark.createDataFrame(rows, "a long, b long").repartition(9)).filter(F.col("b") > 2)
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))  # nulls first
+    places = [0, 5, 5, 199, 120, 200, 10**12]
+    got = f.at(places, "b", "a")
+    assert got.columns == ["a", "b"]
+    assert sorted(r["a"] for r in got.df.collect()) == sorted(order[i][0] for i in places if i < 200)
+    assert sorted(r["a"] for r in got.reveal().collect()) == sorted(a for i in places if i < 200 for a, b in [order[i]] if b is not None and b > 2)
+    assert f.at([], "a").df.count() == 0
+    assert PrivateFrame(f.df.limit(0)).at([0], "a").df.count() == 0
+
+
+def test_exchange_types_and_whole_ranges(spark):
+    t = spark.sql("SELECT 'x' AS s, 1 AS i, 1L AS l, 1.5BD AS d, 1.5D AS f, DATE'2020-01-01' AS day, TIMESTAMP'2020-01-01' AS at")
+    assert [r["type"] for r in exchange_types(t).collect()] == ["text", "integer", "integer", "double", "double", "timestamp", "timestamp"]
+    with pytest.raises(ValueError):
+        exchange_types(spark.sql("SELECT array(1) AS a"))
+    c = counts(spark, [(1, 0, 3), (1, 1, 2), (2, 0, 1), (3, 0, 9)])
+    ok = {(k, lo, hi): g.range_reaches({"r": c}, 2, k, lo, hi).first()["ok"] for k, lo, hi in ((2, 1, 2), (3, 1, 2), (3, 1, 3), (1, 2, 4), (0, 5, 5), (1, 5, 5))}
+    assert ok == {(2, 1, 2): True, (3, 1, 2): False, (3, 1, 3): False, (1, 2, 4): False, (0, 5, 5): True, (1, 5, 5): False}
+
+
+def test_maps_of_several_joins_at_once(spark):
+    fed = Federation(spark, 2)
+    fed.register("l", spark.createDataFrame([(i, i % 30) for i in range(120)], "lid long, lk long"), "lid")
+    fed.register("r", spark.createDataFrame([(i, i % 25) for i in range(150)], "rid long, rk long"), "rid")
+    joins = [{"l": "lk", "r": "rk"}, {"l": "lid", "r": "rid"}]
+    for got, columns in zip(fed.gen_maps(joins, 4), joins, strict=True):
+        assert sorted(map(tuple, got.df.collect())) == sorted(map(tuple, fed.gen_map(columns, 4).df.collect()))
+    assert fed.gen_maps([], 4) == []
