@@ -35,8 +35,8 @@ HEAVY = 1 << 18
 SHORT_LIST = 32
 #: Shingles and sets of one block; two blocks are compared at once.
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 19, 512
-#: Document ids that are broadcast at most.
-BROADCAST_IDS = 1_000_000
+#: Document ids that are broadcast at most; a row of the broadcast table takes up to 300 bytes, 75 MB in all.
+BROADCAST_IDS = 250_000
 
 
 def _sets(w: Words, n: int) -> list[np.ndarray]:
@@ -117,7 +117,7 @@ def _whole_sets(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             flat = lists(signed(np.concatenate(sets)), np.array([len(s) for s in sets]), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([_digest(s) for s in sets], pa.binary()), flat], names=["id", "digest", "toks"])
 
-    few = nodes.count() <= BROADCAST_IDS  # of 40 bytes each; beyond it the texts are shuffled to them
+    few = nodes.count() <= BROADCAST_IDS  # beyond it the texts are shuffled to them
     some = (lambda x: F.broadcast(x)) if few else (lambda x: x)
     whole = texts.join(some(nodes.select("id").distinct()), "id", "left_semi").mapInArrow(run, "id long, digest binary, toks array<long>")
     # Rows that repeat an id and its text would bring a set again.

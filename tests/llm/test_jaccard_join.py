@@ -30,6 +30,15 @@ def got(df):
     return {tuple(r) for r in df.collect()}
 
 
+def test_ids_that_are_too_many_to_broadcast(spark, sf, monkeypatch):
+    from anonframe.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    docs = documents(spark, sf)
+    docs = docs.unionByName(docs.limit(20))
+    assert got(jaccard_components(docs, links=True).select("doc_id", "n_shingles", "component_id")) == brute(rows(docs), 4, 85, 100)
+
+
 def test_matches_brute_force_on_driver_rows(spark, sf):
     docs = documents(spark, sf)
     assert got(jaccard_components(docs)) == brute(rows(docs), 4, 85, 100)
