@@ -18,6 +18,7 @@ the same blocks over the members of each class.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -30,13 +31,19 @@ from .common import components, materialize, release
 from .words import FOLDED, U64, Words, lists, signed, slices
 
 #: Most repeated shingles whose order is by count; it orders prefixes only, and any number gives the same links.
-HEAVY = 1 << 18
+HEAVY = 1 << 20
+#: One set in COUNTED (by digest) counts the shingles that may enter prefixes; REPEATED of them make a shingle a heavy one.
+COUNTED, REPEATED = 4, 4
 #: Members of an open posting list that are paired as rows; members of longer ones are compared in blocks.
-SHORT_LIST = 32
+SHORT_LIST = 64
 #: Shingles and sets of one block; two blocks are compared at once.
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 19, 512
+#: Shingles of blocks that are shuffled at once, beyond twice those of the sets themselves.
+ROUND_SHINGLES = 1 << 24
 #: Document ids that are broadcast at most; a row of the broadcast table takes up to 300 bytes, 75 MB in all.
 BROADCAST_IDS = 250_000
+#: Bits of the filter on more ids: ID_BITS for each, MOST_BITS (16 MB) in all.
+ID_BITS, MOST_BITS = 32, 1 << 27
 
 
 def _sets(w: Words, n: int) -> list[np.ndarray]:
@@ -58,8 +65,17 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _summaries(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (kind 0: id, size, digest of the set) and (kind 1: shingles that a slice has in several documents, counts)."""
+def _prefix_size(size: int, num: int, den: int) -> int:
+    return size - -(-num * size // den) + 1 if size else 0
+
+
+def _summaries(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Rows (kind 0: id, size, digest of the set) and (kind 1: a slice's shingles that may enter prefixes, in how many counted sets).
+
+    Frequent shingles have the longest lists, so they must be known at any size
+    of the corpus; a slice does not show those that few of its documents have.
+    Light shingles enter prefixes by hash, so the smallest hashes are counted.
+    """
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -67,9 +83,8 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
             sets = _sets(w, n)
             size = np.array([len(s) for s in sets], np.int64)
             digest = [_digest(s) for s in sets]
-            once = [s for _, s in {g: s for g, s in zip(digest, sets, strict=True)}.items()]
-            u, c = np.unique(np.concatenate(once), return_counts=True)
-            u, c = u[c > 1], c[c > 1]
+            once = [s for g, s in {g: s for g, s in zip(digest, sets, strict=True)}.items() if g[0] % COUNTED == 0]
+            u, c = np.unique(np.concatenate([np.zeros(0, U64), *(s[: 2 * _prefix_size(len(s), num, den) + 16] for s in once)]), return_counts=True)
             m = len(sets)
             cols = [
                 pa.array([0] * m + [1], pa.int32()),
@@ -93,7 +108,7 @@ def _prefixes(docs: DataFrame, n: int, heavy: np.ndarray, place: np.ndarray, num
             pre, sizes, digest = [], [], []
             for s in _sets(w, n):
                 digest.append(_digest(s))
-                p = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
+                p = _prefix_size(len(s), num, den)
                 if len(heavy) and len(s):
                     k = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
                     known = heavy[k] == s
@@ -108,20 +123,41 @@ def _prefixes(docs: DataFrame, n: int, heavy: np.ndarray, place: np.ndarray, num
     return docs.mapInArrow(run, "id long, digest binary, n long, pre array<long>, pd binary")
 
 
+def _id_filter(nodes: DataFrame, count: int) -> tuple[int, np.ndarray]:
+    """(bits, bytes): a set bit for pmod(xxhash64(id), bits) of each id; other ids share a few of them."""
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(6, (ID_BITS * count - 1).bit_length()))
+    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = nodes.select((at / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(id), {bits}) % 64 AS INT))").alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    return bits, out.astype("<i8").view(np.uint8)
+
+
 def _whole_sets(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """(node, toks) of ``nodes`` (node, id, digest): a text of that id whose set has that digest."""
+    count = nodes.count()
+    few = count <= BROADCAST_IDS
+    bitmap = None if few else _id_filter(nodes, count)[1]
 
     def run(batches):
-        for batch in slices(batches, "text"):
-            sets = _sets(Words(batch.column("text"), FOLDED), n)
-            flat = lists(signed(np.concatenate(sets)), np.array([len(s) for s in sets]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([_digest(s) for s in sets], pa.binary()), flat], names=["id", "digest", "toks"])
-
-    few = nodes.count() <= BROADCAST_IDS  # beyond it the texts are shuffled to them
-    some = (lambda x: F.broadcast(x)) if few else (lambda x: x)
-    whole = texts.join(some(nodes.select("id").distinct()), "id", "left_semi").mapInArrow(run, "id long, digest binary, toks array<long>")
-    # Rows that repeat an id and its text would bring a set again.
-    return whole.join(some(nodes), ["id", "digest"]).select("node", "toks").dropDuplicates(["node"])
+        for batch in batches:
+            if bitmap is not None:
+                h = batch.column("h").to_numpy()
+                batch = batch.filter(pa.array((bitmap[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
+            for part in slices([batch], "text"):
+                sets = _sets(Words(part.column("text"), FOLDED), n)
+                flat = lists(signed(np.concatenate(sets)), np.array([len(s) for s in sets]), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([_digest(s) for s in sets], pa.binary()), flat], names=["id", "digest", "toks"])
+
+    if few:
+        nodes = F.broadcast(nodes)
+        wanted = texts.join(F.broadcast(nodes.select("id").distinct()), "id", "left_semi")
+    else:  # texts are not shuffled: a filter leaves the ids wanted and a few others, whose sets find no node
+        wanted = texts.where("id IS NOT NULL").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(len(bitmap) * 8)))
+    whole = wanted.mapInArrow(run, "id long, digest binary, toks array<long>")
+    # Rows that repeat an id and its text would bring a set again; a node is an id and a digest, by which the join has dealt out the rows.
+    return whole.join(nodes, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("node", "toks")
 
 
 def _shared(entries: DataFrame) -> DataFrame:
@@ -154,8 +190,12 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sides(members: DataFrame, whole: DataFrame, num: int, den: int, carry: str) -> DataFrame:
-    """(grp, z1, s1, z2, s2, first, last, node, carry, toks): each set once for each pair of blocks that can hold links of its.
+def _by_blocks(members: DataFrame, whole: DataFrame, num: int, den: int, carry: str, f, kind: str, name: str) -> DataFrame:
+    """What ``f`` gives for each pair of blocks of ``members`` that can hold links, materialized.
+
+    A set goes to as many pairs as its group has blocks near it, so the pairs
+    are dealt to rounds: what lies on disk grows with the sets, not with the
+    square of a group.
 
     ``members``: (grp, node, n, carry).  A group that fits in a block is one
     block.  Others are cut by size, in steps so wide that linked sets lie in the
@@ -168,8 +208,8 @@ def _sides(members: DataFrame, whole: DataFrame, num: int, den: int, carry: str)
     rows = materialize(rows.select("grp", "node", "n", carry, "z"), "cut")
     k = materialize(rows.groupBy("grp", "z").agg(blocks().alias("k")), "cuts")
     rows_ = rows.join(k, ["grp", "z"])
-    for name, by in (("above", 1), ("below", -1)):
-        rows_ = rows_.join(k.select("grp", (F.col("z") - by).alias("z"), F.col("k").alias(name)), ["grp", "z"], "left")
+    for beside, by in (("above", 1), ("below", -1)):
+        rows_ = rows_.join(k.select("grp", (F.col("z") - by).alias("z"), F.col("k").alias(beside)), ["grp", "z"], "left")
     s = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     pair = lambda z1, s1, z2, s2, side: F.struct(z1.alias("z1"), s1.alias("s1"), z2.alias("z2"), s2.alias("s2"), side.alias("side"))
     none = F.array().cast("array<struct<z1:int,s1:int,z2:int,s2:int,side:int>>")
@@ -178,12 +218,22 @@ def _sides(members: DataFrame, whole: DataFrame, num: int, den: int, carry: str)
     own = F.transform(upto("k"), lambda t: pair(z, F.least(at, t), z, F.greatest(at, t), F.when(at <= t, 0).otherwise(1)))
     up = F.when(F.col("above").isNull(), none).otherwise(F.transform(upto("above"), lambda t: pair(z, at, z + 1, t, F.lit(0))))
     down = F.when(F.col("below").isNull(), none).otherwise(F.transform(upto("below"), lambda t: pair(z - 1, t, z, at, F.lit(1))))
-    placed = rows_.withColumn("s", s).select("grp", "node", carry, F.concat(own, up, down).alias("places"))
-    out = materialize(placed.join(whole, "node"), "sides")
+    placed = rows_.withColumn("s", s).select("grp", "node", "n", carry, F.concat(own, up, down).alias("places"))
+    sides = materialize(placed.join(whole, "node"), "sides")
     release(rows, k)
-    flat = out.select("grp", F.explode("places").alias("x"), "node", carry, "toks").select("grp", "x.*", "node", carry, "toks")
-    flat._anon_path = out._anon_path
-    return flat
+    once, all_ = sides.agg(F.sum("n"), F.sum(F.col("n") * F.size("places"))).first()
+    rounds = -(-(all_ or 0) // (2 * (once or 0) + ROUND_SHINGLES)) or 1
+    parts = []
+    for r in range(rounds):
+        here = F.filter("places", lambda x: F.pmod(F.xxhash64("grp", x.z1, x.s1, x.z2, x.s2), F.lit(rounds)) == r)  # noqa: B023
+        flat = sides.select("grp", F.explode(here).alias("x"), "node", carry, "toks").select("grp", "x.*", "node", carry, "toks")
+        parts.append(materialize(flat.groupBy("grp", "z1", "s1", "z2", "s2").applyInArrow(f, kind), name))
+    release(sides)
+    if rounds == 1:
+        return parts[0]
+    out = materialize(functools.reduce(DataFrame.unionByName, parts), name)
+    release(*parts)
+    return out
 
 
 def _compared(group: pa.Table, num: int, den: int, carry: str):
@@ -214,10 +264,7 @@ def _link_counts(members: DataFrame, whole: DataFrame, num: int, den: int) -> Da
             v.append(linked.T @ ca)
         return pa.table({"node": pa.array(np.concatenate(ids), pa.int64()), "v": pa.array(np.concatenate(v), pa.int64())})
 
-    sides = _sides(members, whole, num, den, "copies")
-    counts = materialize(sides.groupBy("grp", "z1", "s1", "z2", "s2").applyInArrow(count, "node long, v long"), "counts")
-    release(sides)
-    return counts.groupBy("node").agg(F.sum("v").alias("n_links"))
+    return _by_blocks(members, whole, num, den, "copies", count, "node long, v long", "counts").groupBy("node").agg(F.sum("v").alias("n_links"))
 
 
 def _joining(members: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
@@ -243,10 +290,7 @@ def _joining(members: DataFrame, whole: DataFrame, num: int, den: int) -> DataFr
                 out.append((a[i], b[j]))
         return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
-    sides = _sides(members, whole, num, den, "comp")
-    out = materialize(sides.groupBy("grp", "z1", "s1", "z2", "s2").applyInArrow(forest, "a long, b long").distinct(), "links")
-    release(sides)
-    return out
+    return _by_blocks(members, whole, num, den, "comp", forest, "a long, b long", "links")
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
@@ -268,14 +312,16 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     make it one.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = materialize(_summaries(texts, n), "summaries")
-    rows = seen.where("kind = 0").select("id", "n", "digest")
+    seen = materialize(_summaries(texts, n, num, den), "summaries")
     top = seen.where("kind = 1").select(F.explode(F.arrays_zip("tok", "cnt")).alias("x")).groupBy("x.tok").agg(F.sum("x.cnt").alias("c"))
-    top = top.orderBy(F.desc("c"), "tok").limit(HEAVY).collect()  # HEAVY rows of 16 bytes at most
-    by = sorted((r["c"], r["tok"]) for r in top)
-    tok = np.array([t for _, t in by], np.int64).view(U64)
+    counted = materialize(top.where(F.col("c") >= REPEATED), "counted")
+    top = counted.orderBy(F.desc("c"), "tok").limit(HEAVY).toArrow()  # HEAVY rows of 16 bytes at most
+    tok, c = (top.column(k).to_numpy() for k in ("tok", "c"))
+    tok = tok[np.lexsort((tok, c))].view(U64)
     order = np.argsort(tok)
     heavy, place = tok[order], order
+    rows = materialize(seen.where("kind = 0").select("id", "n", "digest"), "sizes")
+    release(seen, counted)
 
     # Equal sets collapse to a node with a number of its own; written once, numbers stay.
     sets = rows.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.countDistinct("id").alias("copies"), F.min("n").alias("n"))

@@ -133,3 +133,46 @@ def test_an_id_with_two_texts_links_nothing_of_its_own(spark):
     df = spark.createDataFrame([(1, t), (2, t), (2, u), (3, u)], "doc_id long, text string")
     found = sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard_components(df, links=True).collect())
     assert found == [(1, 1, 1), (2, 1, 1), (2, 2, 1), (3, 2, 1)]
+
+
+def test_texts_are_not_shuffled_to_many_ids(spark, monkeypatch):
+    from anonframe.llm import jaccard_join
+    from anonframe.llm.common import materialize
+
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    texts = materialize(spark.createDataFrame([(i, f"w{i} b c d e{i}") for i in range(300)] + [(7, "other text of seven"), (None, "w1 b c d e1"), (8, None)], "id long, text string"))
+    wanted = [(i, jaccard_join._sets(jaccard_join.Words(jaccard_join.pa.array([f"w{i} b c d e{i}"]), jaccard_join.FOLDED), 4)[0]) for i in range(0, 300, 3)]
+    nodes = materialize(spark.createDataFrame([(100 + i, i, jaccard_join._digest(s)) for i, s in wanted], "node long, id long, digest binary"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = jaccard_join._whole_sets(texts, nodes, 4)
+        got = {r["node"]: len(r["toks"]) for r in whole.collect()}
+        plan = whole._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {100 + i: 2 for i in range(0, 300, 3)}
+    below = plan[plan.index("MapInArrow") :]
+    assert "Exchange" not in below[: below.index("Scan")] and plan.count("Exchange") == 2
+
+
+def test_blocks_of_a_large_cluster_go_in_rounds(spark, monkeypatch):
+    from anonframe.llm import jaccard_join
+
+    rng = random.Random(11)
+    base = [f"{rng.choice('abcdefgh')}{rng.randrange(50)}" for _ in range(50)]
+    docs = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(len(copy))] = f"x{i}"
+        docs.append((i, " ".join(copy)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 5)
+    monkeypatch.setattr(jaccard_join, "ROUND_SHINGLES", 100, raising=False)
+    written = []
+    write = jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda t, name="t": (written.append(name), write(t, name))[1])
+    found = {r["doc_id"]: r["n_links"] for r in jaccard_components(df, 2, 80, 100, links=True).collect()}
+    assert found == link_counts(docs, 2, 80, 100)
+    assert written.count("counts") > 2  # several rounds: a set meets more blocks than are shuffled at once
