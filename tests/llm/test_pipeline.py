@@ -68,3 +68,19 @@ def test_short_items_need_company(spark, tmp_path):
     docs = [(1, "a letter to say thank you for all"), (2, "thank you and best wishes to all"), (3, "so " + long_item + " ten"), (4, "clean"), (5, None)]
     out = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
     assert out.columns == ["doc_id", "text"] and sorted(r["doc_id"] for r in out.collect()) == [1, 4, 5]
+
+
+def test_a_common_passage_that_no_slice_repeats_makes_no_cluster(spark, sf, monkeypatch):
+    """A passage in unlike documents, one to a partition: its lists must not bring all of them into blocks."""
+    from anonframe.llm import jaccard_join
+
+    passage = " ".join(f"p{k}" for k in range(30))
+    docs = [(i, passage + " " + " ".join(f"w{i}x{k}" for k in range(60))) for i in range(90)]
+    docs += [(100 + i, docs[i][1] + " end") for i in (3, 50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(len(docs), "doc_id")
+    seen = []
+    forest = jaccard_join._joining
+    monkeypatch.setattr(jaccard_join, "_joining", lambda inside, *a: (seen.append(inside.count()), forest(inside, *a))[1])
+    kept = corpus_pipeline.drop_near_copies(spark, df, sf)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(90))
+    assert not seen
