@@ -9,7 +9,9 @@ filters, and members are verified on their whole sets.
 Only links that can join two classes are looked for at first.  Stars come
 before all else: a list's hub with the list, and a group's first member with
 the group.  A posting list that then still holds several classes is open.
-Short open lists are paired and verified.  The members of long open lists never
+Short open lists are paired and verified.  Pairs are verified in rounds, so
+that however many there are, the whole sets that lie on disk at once stay a
+fixed part of the corpus.  The members of long open lists never
 become rows of pairs: they are cut into blocks by size and hash, a task holds
 the whole sets of two blocks, verifies them as a product of matrices, and gives
 back a spanning forest of the links.  Numbers of links, if asked for, come from
@@ -40,6 +42,10 @@ SHORT_LIST = 64
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 19, 512
 #: Shingles of blocks that are shuffled at once, beyond twice those of the sets themselves.
 ROUND_SHINGLES = 1 << 24
+#: Of the shingles of all sets, the part whose pairs are verified at once (a set counts in each of its pairs), and so many besides.
+VERIFIED, VERIFIED_SHINGLES = 1 / 4, 1 << 22
+#: Rows of short lists' pairs that are shuffled at once, for each shingle of all sets, and so many besides.
+PAIRED, PAIRED_ROWS = 1 / 8, 1 << 22
 #: Document ids that are broadcast at most; a row of the broadcast table takes up to 300 bytes, 75 MB in all.
 BROADCAST_IDS = 250_000
 #: Bits of the filter on more ids: ID_BITS for each, MOST_BITS (16 MB) in all.
@@ -160,6 +166,15 @@ def _whole_sets(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return whole.join(nodes, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("node", "toks")
 
 
+def _gathered(parts: list[DataFrame], name: str) -> DataFrame:
+    """The rows of materialized ``parts`` as one materialized table."""
+    if len(parts) == 1:
+        return parts[0]
+    out = materialize(functools.reduce(DataFrame.unionByName, parts), name)
+    release(*parts)
+    return out
+
+
 def _shared(entries: DataFrame) -> DataFrame:
     """The posting entries (tok, gid, n, pos) of shingles that several groups have."""
     several = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -229,11 +244,7 @@ def _by_blocks(members: DataFrame, whole: DataFrame, num: int, den: int, carry:
         flat = sides.select("grp", F.explode(here).alias("x"), "node", carry, "toks").select("grp", "x.*", "node", carry, "toks")
         parts.append(materialize(flat.groupBy("grp", "z1", "s1", "z2", "s2").applyInArrow(f, kind), name))
     release(sides)
-    if rounds == 1:
-        return parts[0]
-    out = materialize(functools.reduce(DataFrame.unionByName, parts), name)
-    release(*parts)
-    return out
+    return _gathered(parts, name)
 
 
 def _compared(group: pa.Table, num: int, den: int, carry: str):
@@ -350,10 +361,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
         return F.greatest(F.lit(1), least - F.greatest(behind(na), behind(nb)))
 
     def often(pairs: DataFrame, part: int = 1) -> DataFrame:
-        """Pairs (a, b, na, nb, w: shared prefix shingles) that share enough of them in all their rows."""
+        """Pairs (a, b, na, nb, w: shared prefix shingles) that share enough of them in all their rows, with m: the sizes of both sets."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb"), "w")
         got = pairs.groupBy("a", "b").agg(F.sum("w").alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb"))
-        return got.where(F.col("c") * part >= least_common(F.col("na"), F.col("nb"))).select("a", "b")
+        return got.where(F.col("c") * part >= least_common(F.col("na"), F.col("nb"))).select("a", "b", (F.col("na") + F.col("nb")).alias("m"))
 
     def needed(ids: DataFrame) -> DataFrame:
         """(node, toks) of the nodes in ``ids`` (node)."""
@@ -362,21 +373,32 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
         release(wanted)
         return out
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    corpus = sets.agg(F.sum("n")).first()[0] or 0
+
+    def linked(pairs: DataFrame) -> DataFrame:
         whole = needed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         got = pairs.join(whole.select(F.col("node").alias("a"), F.col("toks").alias("ta")), "a")
         got = got.join(whole.select(F.col("node").alias("b"), F.col("toks").alias("tb")), "b")
         both = F.size(F.array_intersect("ta", "tb"))
         out = materialize(got.where(both * (num + den) >= (F.size("ta") + F.size("tb")) * num).select("a", "b"), "links")
-        release(whole, pairs)
+        release(whole)
+        return out
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The linked ones of ``pairs`` (a, b, m: shingles of both); whole sets come to disk for one round of pairs at a time."""
+        pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("m").alias("m"))
+        pairs = materialize(pairs, "pairs")
+        rounds = math.ceil((pairs.agg(F.sum("m")).first()[0] or 0) / (VERIFIED * corpus + VERIFIED_SHINGLES)) or 1
+        at = F.pmod(F.xxhash64("a", "b"), F.lit(rounds))
+        out = _gathered([linked(pairs.where(at == r).select("a", "b")) for r in range(rounds)], "links")
+        release(pairs)
         return out
 
     # Stars: in each list a hub with the others, and in each group its first member with the others.
     hub = post.groupBy("tok").agg(F.min(F.struct("gid", "n", "pos")).alias("hub"))
     star = post.join(hub, "tok").where(near("gid", "hub.gid", F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos")))
     # A hub need not be the hub of all that a pair shares: half will do here, as what is missed comes below.
-    star = often(star.select(F.col("hub.gid").alias("a"), F.col("gid").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.lit(1).alias("w")), 2).unionByName(member.where("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b")))
+    star = often(star.select(F.col("hub.gid").alias("a"), F.col("gid").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.lit(1).alias("w")), 2).unionByName(member.where("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"), (F.col("n") * 2).alias("m")))
     first = verified(star)
 
     # Lists that still hold several classes, and the members of each group as a list of their own: they share the whole prefix.
@@ -387,13 +409,21 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     known = materialize(known, "known")
     release(post, comp)
     apart = known.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi")
-    open_ = materialize(known.join(apart.select("tok", "lo", "c"), "tok"), "open")
+    apart = materialize(apart.select("tok", "lo", "c"), "apart")
+    open_ = materialize(known.join(apart, "tok"), "open")
     release(known)
     few = open_.where(F.col("c") <= SHORT_LIST)
     x, y = (few.select("tok", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "pos", "comp", "w"))) for s in "ab")
     pairs = x.join(y, "tok").where((F.col("a_node") < F.col("b_node")) & (F.col("a_comp") != F.col("b_comp")) & near("a_node", "b_node", F.col("a_n"), F.col("b_n"), F.col("a_pos"), F.col("b_pos")))
+    pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb"), F.col("a_w").alias("w"))
+    # Lists grow with the corpus and their pairs with the square: all rows of a pair fall into one round.
+    most, at_once = apart.where(F.col("c") <= SHORT_LIST).agg(F.sum(F.expr("c * (c - 1) div 2"))).first()[0] or 0, PAIRED * corpus + PAIRED_ROWS
+    rounds = 1 if most <= at_once else math.ceil(pairs.count() / at_once) or 1
+    at = F.pmod(F.xxhash64("a", "b"), F.lit(rounds))
     # Shingles that a pair shares in long lists are not counted, but then its members meet in blocks.
-    second = verified(often(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb"), F.col("a_w").alias("w"))))
+    pairs = _gathered([materialize(often(pairs.where(at == r)), "paired") for r in range(rounds)], "paired")
+    second = verified(pairs)
+    release(pairs, apart)
     joined = first.unionByName(second)
     many = open_.where(F.col("c") > SHORT_LIST)
     third = None

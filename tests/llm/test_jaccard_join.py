@@ -176,3 +176,32 @@ def test_blocks_of_a_large_cluster_go_in_rounds(spark, monkeypatch):
     found = {r["doc_id"]: r["n_links"] for r in jaccard_components(df, 2, 80, 100, links=True).collect()}
     assert found == link_counts(docs, 2, 80, 100)
     assert written.count("counts") > 2  # several rounds: a set meets more blocks than are shuffled at once
+
+
+def test_pairs_are_verified_in_rounds(spark, monkeypatch):
+    """Where nearly every document has near copies, whole sets of a few of them only lie on disk at once."""
+    from anonframe.llm import jaccard_join
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 5)))
+    docs = []
+    for c in range(20):
+        if c % 2 == 0:
+            passage = [word() for _ in range(30)]
+        base = [word() for _ in range(50)] + passage
+        docs += [(len(docs) + k, " ".join([*base, *([f"copy{k}"] if k else [])])) for k in range(3)]
+    wanted = brute(docs, 5, 80, 100)
+    for name, value in (("VERIFIED", 0), ("VERIFIED_SHINGLES", 2000), ("PAIRED", 0), ("PAIRED_ROWS", 40)):
+        monkeypatch.setattr(jaccard_join, name, value, raising=False)
+    written, write = [], jaccard_join.materialize
+
+    def seen(df, name="t"):
+        out = write(df, name)
+        written.append((name, sum(len(r.toks) for r in out.select("toks").collect()) if name == "whole" else 0))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", seen)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(jaccard_components(df, 5, 80, 100)) == wanted
+    assert max(v for name, v in written if name == "whole") < sum(n for _, n, _ in wanted) / 2
+    assert sum(name == "paired" for name, _ in written) > 1
